@@ -89,22 +89,31 @@ class Search:
         dim = x.shape[1]
         signs = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
         factor = (length / f).astype(np.float32)
+        x32 = x.astype(np.float32)
+        size = float(np.sqrt((x * x).sum(axis=1)).max())
         slack = (length * np.sqrt(np.maximum(1 - f * f, 0)) / f * self.scale).astype(np.float32)
         for i in range(0, len(self.ids), GROUP):
             rows = slice(i, i + GROUP)
             est = (self.turned[rows] @ signs.T) * factor + self.at_centre[rows, None]
             err = self.norm[rows, None] * (slack + np.float32(1e-5) * (1 + length.astype(np.float32) + np.abs(at_centre).astype(np.float32)))
             for j in range(len(est)):
-                self._rerank(i + j, est[j], err[j], ids, x)
+                self._rerank(i + j, est[j], err[j], ids, x, x32, size)
 
-    def _rerank(self, i: int, est: np.ndarray, err: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+    def _rerank(self, i: int, est: np.ndarray, err: np.ndarray, ids: np.ndarray, x: np.ndarray, x32: np.ndarray, size: float) -> None:
         score, own = self.best[i]
         floor = score[-1] if len(score) == self.k else -np.inf
-        if len(est) > self.k + 1:
+        if not np.isfinite(floor) and len(est) > self.k + 1:
             lower = est - err
             lower[ids == self.ids[i]] = -np.inf
-            floor = max(floor, np.partition(lower, -self.k)[-self.k])
-        at = np.flatnonzero((est + err >= floor) & (ids != self.ids[i]))
+            floor = np.partition(lower, -self.k)[-self.k]
+        at = np.flatnonzero(est + err >= floor)
+        at = at[ids[at] != self.ids[i]]
+        if len(at) > 4 * self.k:  # in single precision first, with its rounding as margin
+            q = self.q[i].astype(np.float32)
+            rough = x32[at] @ q
+            margin = 1e-5 * float(self.norm[i]) * size
+            best = max(floor, np.partition(rough, -self.k)[-self.k])
+            at = at[rough >= best - margin]
         if not len(at):
             return
         s = inner(x[at], self.q[i])
