@@ -21,15 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, ranked, ship, stored
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 LIMIT = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
+#: Characters that are encoded together.
+CALL_CHARS = 6_000_000
 
 _PIECES = pa.schema(
     [(n, pa.int64()) for n in ("doc_id",)]
@@ -42,20 +45,22 @@ _PIECES_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32
 def cut_batches(
     batches: Iterator[pa.RecordBatch], vocabulary: str, limit: int, end_id: int
 ) -> Iterator[pa.RecordBatch]:
-    encoder = WordEncoder(vocabulary)
-    end, width = np.array([end_id], "<u4").tobytes(), 4 * limit
+    encoder = word_encoder(vocabulary)
+    end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        rows: list[tuple] = []
-        for i, j in by_bytes(texts, 2_000_000):
-            for doc, body in zip(ids[i:j], encoder.encode(texts[i:j])):
-                body += end
-                for k, at in enumerate(range(0, len(body), width)):
-                    part = body[at : at + width]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-        columns = zip(*rows) if rows else ([],) * len(_PIECES)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
+        docs, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+        for i, j in by_bytes(texts.to_pylist(), CALL_CHARS):
+            ids, counts = encoder.encode_array(texts.slice(i, j - i))
+            rows: list[tuple] = []
+            last = np.cumsum(counts)
+            for doc, n, z in zip(docs[i:j], counts.tolist(), last.tolist()):
+                body = ids[z - n : z]
+                for k, at in enumerate(range(0, n + 1, limit)):
+                    crc, size = zlib.crc32(body[at : at + limit]), min(n + 1 - at, limit)
+                    if at + size > n:
+                        crc = zlib.crc32(end, crc)
+                    rows.append((doc, k, at, size, crc))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
 
 def fullest(available: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:

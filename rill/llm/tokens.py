@@ -13,9 +13,11 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,52 +96,103 @@ def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
 
 
 class WordEncoder:
-    """Token ids as little-endian 32-bit bytes, chunk by chunk, for vocabularies that drop white space."""
+    """Token ids as little-endian 32-bit bytes, chunk by chunk, for vocabularies of lower case that drop white space and
+    mark the ends of words."""
 
-    #: White space for Python's split() but not for the vocabulary.
-    ODD = re.compile("[\x1c-\x1f]")
+    WORD_END = "</w>"
+    #: Words that are encoded as one text.
+    JOINED = 1000
 
-    def __init__(self, vocabulary: str, most: int = 300_000):
+    def __init__(self, vocabulary: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
         self.most = most
         self.cache: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for n, i in names.items() if n.endswith(self.WORD_END)]] = True
 
     def encode_plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Of words that are letters only: many at once, told apart by the tokens that end words."""
+        out: list[bytes] = []
+        for i in range(0, len(words), self.JOINED):
+            own = words[i : i + self.JOINED]
+            body = self.encode_plain([" ".join(own)])[0]
+            last = np.flatnonzero(self.ends[np.frombuffer(body, "<u4")])
+            if len(last) != len(own):
+                out += self.encode_plain(own)
+                continue
+            cuts = [0, *((last + 1) * 4).tolist()]
+            out += [body[a:z] for a, z in zip(cuts, cuts[1:])]
+        return out
+
     def learn(self, chunks: set[str]) -> None:
-        """Puts the ids of new chunks into the cache. A final comma or period after ASCII letters is a token of its own."""
-        stems: dict[str, list[str]] = {}
-        for c in chunks:
-            if len(c) > 1 and c[-1] in ",." and c[-2].isalpha() and c.isascii() and "<" not in c:
-                stems.setdefault(c[:-1], []).append(c)
+        """Puts the ids of new chunks into the cache. A final comma or period after a letter is a token of its own."""
         cache = self.cache
-        ended = {c for own in stems.values() for c in own}
-        new = [c for c in (chunks - ended) | stems.keys() | {",", "."} if c not in cache]
-        for i in range(0, len(new), 20_000):
-            cache.update(zip(new[i : i + 20_000], self.encode_plain(new[i : i + 20_000])))
-        for stem, own in stems.items():
-            for c in own:
-                cache[c] = cache[stem] + cache[c[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; callers keep the texts of a call to a few million characters together."""
-        odd = [bool(self.ODD.search(t)) for t in texts]
-        chunks = [[] if o else t.split() for t, o in zip(texts, odd)]
-        words = set().union(*chunks)
-        new = words - self.cache.keys()
-        if new:
+        ended = [c for c in chunks if c and c[-1] in ",." and c[:-1].isalpha() and plain(c)]
+        new = [c for c in chunks.difference(ended).union([c[:-1] for c in ended], ",.") if c not in cache]
+        words = [c for c in new if c.isalpha() and plain(c)]
+        cache.update(zip(words, self.encode_words(words)))
+        rest = [c for c in new if c not in cache] if len(words) < len(new) else []
+        for i in range(0, len(rest), 20_000):
+            cache.update(zip(rest[i : i + 20_000], self.encode_plain(rest[i : i + 20_000])))
+        for c in ended:
+            cache[c] = cache[c[:-1]] + cache[c[-1]]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has. Memory goes with the texts of one call.
+
+        ASCII letters are lower-cased at once, but not where a special token could begin; then each distinct chunk of a
+        call is looked up once.
+        """
+        low = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
+        parts = pc.ascii_split_whitespace(low)
+        coded = parts.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.cache.get, chunks))
+        if None in found:
+            new = {c for c, f in zip(chunks, found) if f is None}
             if len(self.cache) + len(new) > self.most:
-                self.cache = {}
-                new = words
+                self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))
+                new = set(chunks) - self.cache.keys()
             self.learn(new)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
-        for i, o in enumerate(odd):
-            if o:
-                out[i] = self.encode_plain([texts[i]])[0]
-        return out
+            found = list(map(self.cache.__getitem__, chunks))
+        size = np.array([len(f) for f in found], np.int64) // 4
+        start = np.cumsum(size) - size
+        own = size[at]
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.repeat(start[at] - (ends - own), own) + np.arange(total)
+        ids = np.frombuffer(b"".join(found), "<u4")[place]
+        counts = np.diff(np.concatenate(([0], ends))[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
+        return ids, counts
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, counts = self.encode_array(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        return [ids[z - n : z].tobytes() for z, n in zip(ends, counts)]
+
+
+#: Characters that are lower-cased the same everywhere and never compose, without the one that special tokens begin with.
+PLAIN = re.compile("[\x00-;=-\xff]*")
+
+
+def plain(text: str) -> bool:
+    return PLAIN.fullmatch(text) is not None
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(vocabulary: str) -> WordEncoder:
+    """One encoder for each Python worker: its cache serves task after task."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = WordEncoder(vocabulary)
+    return _encoders[vocabulary]

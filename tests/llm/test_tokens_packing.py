@@ -8,7 +8,7 @@ from rill.llm import packing as P
 from rill.llm import tokens as K
 from rill.llm.common import tokenizer_path
 
-ALPHABET = list("abZÉéñß 's.,!?'-<|>1२٣\n\t  ́\x1f漢字😀İΣσ") + [" the ", "ing", "<|endoftext|>", "'re ", "...", "  ", "word, "]
+ALPHABET = list("abZªµÉéñß 's.,!?'-<|>1२٣\n\t  ́\x1f漢字😀İΣσ") + [" the ", "ing", "<|endoftext|>", "'re ", "...", "  ", "word, "]
 
 
 def made(n, seed, most=60):
