@@ -312,6 +312,15 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """docs, with all columns, without the ids that hold any benchmark window; rows with a null id stay."""
+    found = find_contamination(docs, benchmark, window, None, doc_id, text)
+    gone = stored(found.where(F.size("items") > 0).select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+
+
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> list[tuple]:
     """The contract's rows by comparing every window with every position."""
     out = []

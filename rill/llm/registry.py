@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, neighbours, packing, sharding, tokens
+from . import chat, decontaminate, jaccard, language, neighbours, packing, quality, sharding, tokens, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,12 +46,42 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def _remainder(doc_id: str, parts: int):
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts))
+
+
+def _judged(scored: DataFrame, parts: int, held: int) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (_remainder("doc_id", parts) == held).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = labels.where(_remainder("doc_id", 4) != 2).select("doc_id", "quality")
+    return _judged(quality.score_quality(docs, learned), 4, 2)
+
+
+def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.labelled_model(table(spark, sf_dir, "documents"), "lang")
+    return language.identify_pages(table(spark, sf_dir, "pages"), model)
+
+
+def op9_toxic_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = labels.where(_remainder("doc_id", 3) != 1).select("doc_id", "toxic")
+    return _judged(toxicity.score_toxicity(docs, learned), 3, 1)
+
+
 def op10_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_kd_sharding, op5_packing, op6_token_counts, op10_one_bit_codes)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_kd_sharding, op4_role_repair, op5_packing, op6_token_counts, op7_quality_rules, op8_language_fusion, op9_toxic_compression, op10_one_bit_codes)}
 
 
 OP1_SQL = r"""
