@@ -96,7 +96,7 @@ HOST = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)", re
 
 def visible_text(page: str | None) -> str:
     """What a page shows: no mark-up, scripts, styles, navigation or comments."""
-    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", page or "")))
+    return " ".join(html.unescape(TAG.sub(" ", HIDDEN.sub(" ", page or ""))).split())
 
 
 def declared_language(page: str | None) -> str:
