@@ -217,7 +217,7 @@ def compare(symbol: str) -> Callable[[Typed, Typed], Typed]:
 
     make = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}[symbol]
 
-    def run(left: Typed, right: Typed) -> Typed:
+    def run(left: Typed, right: Typed, strict: bool = True) -> Typed:
         if NONE in (left.kind, right.kind):
             if symbol not in ("==", "!="):
                 raise TypeError(f"{symbol} is not defined for None")
@@ -235,7 +235,7 @@ def compare(symbol: str) -> Callable[[Typed, Typed], Typed]:
         odd = [F.isnan(t.column) for t in (left, right) if t.kind == FLOAT]
         for nan in odd:
             value = (value | nan) if symbol == "!=" else (value & ~nan)
-        return Typed(value, BOOL)
+        return Typed(both(left, right, value) if odd and strict else value, BOOL)
 
     return run
 
@@ -279,6 +279,8 @@ class Binary(Expression):
             return self.left.condition(scope) & self.right.condition(scope)
         if self.symbol == "!=" and isinstance(self.right, Const) and self.right.value is None:
             return self.left.typed(scope).column.isNotNull()
+        if self.symbol in ("==", "<", "<=", ">", ">="):  # null or false is the same to a filter
+            return compare(self.symbol)(self.left.typed(scope), self.right.typed(scope), strict=False).column
         return super().condition(scope)
 
 
