@@ -11,6 +11,8 @@ Definitions used throughout:
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -84,6 +86,19 @@ def ship(spark: SparkSession) -> None:
     )
 
 
+def settled(batches: Iterator) -> Iterator:
+    """The batches, and what their making took from the machine given back at the end: workers live on between tasks."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8."""
     return [] if text is None else utf8(text).translate(WORD_TABLE).split()

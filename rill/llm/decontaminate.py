@@ -30,9 +30,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, ship, stored, utf8, words_of
+from .common import by_bytes, settled, ship, stored, utf8, words_of
 
-SEGMENT_CHARS = 4_000_000
+SEGMENT_CHARS = 2_000_000
 BLOCK_BYTES = 8_000_000
 #: Lists are intersected for so many candidates at a time.
 CANDIDATES = 2_000_000
@@ -232,7 +232,7 @@ def build_index(docs: DataFrame, block: Windows, gap: int, doc_id: str = "doc_id
     terms = docs.sparkSession.sparkContext.broadcast(pickle.dumps(block.terms))
 
     def build(batches):
-        yield from index_segments(batches, pickle.loads(terms.value), gap)
+        yield from settled(index_segments(batches, pickle.loads(terms.value), gap))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return stored(rows.mapInArrow(build, _INDEX_DDL), "postings")
@@ -263,7 +263,7 @@ def find_contamination(
         held = spark.sparkContext.broadcast(pickle.dumps(block))
 
         def search(batches, held=held, gap=gap):
-            yield from search_segments(batches, pickle.loads(held.value), gap, slop)
+            yield from settled(search_segments(batches, pickle.loads(held.value), gap, slop))
 
         index = build_index(docs, block, gap, doc_id, text)
         found.append(index.select(*_INDEX.names).mapInArrow(search, _MATCH_DDL))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, ship, shingle_hashes, stored, word_codes, words_of
+from .common import by_bytes, settled, ship, shingle_hashes, stored, word_codes, words_of
 from .graph import components
 
 N = 5
@@ -190,7 +190,7 @@ def near_duplicates(
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def sign(batches):
-        yield from sign_batches(batches, n, bands, rows)
+        yield from settled(sign_batches(batches, n, bands, rows))
 
     signed = stored(given.mapInArrow(sign, _SIGNED_DDL), "signed")
     with_words = signed.where("set_key is not null and doc_id is not null")
@@ -253,7 +253,7 @@ def verified(given: DataFrame, reps: DataFrame, n: int, threshold: float) -> tup
     dealt = rows.repartition(F.col("unit")).sortWithinPartitions("unit")
 
     def verify(batches):
-        yield from verify_batches(batches, n, threshold)
+        yield from settled(verify_batches(batches, n, threshold))
 
     found = stored(dealt.mapInArrow(verify, "rep bigint, links bigint, root bigint"), "verified")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, ship, stored, utf8
+from .common import by_bytes, settled, ship, stored, utf8
 from .toxicity import LOWER
 
 GRAM, TABLE_BITS = 4, 18
@@ -151,7 +151,7 @@ def text_evidence(rows: DataFrame, model: TextModel, pages: bool) -> DataFrame:
                 )
 
     return rows.mapInArrow(
-        run, "id bigint, lik array<double>, known double, declared string, host string, domain string, suffix string"
+        lambda batches: settled(run(batches)), "id bigint, lik array<double>, known double, declared string, host string, domain string, suffix string"
     )
 
 

@@ -25,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, ranked, ship, stored
+from .common import by_bytes, ranked, settled, ship, stored
 from .tokens import word_encoder
 
 LIMIT = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Characters that are encoded together.
-CALL_CHARS = 6_000_000
+CALL_CHARS = 3_000_000
 
 _PIECES = pa.schema(
     [(n, pa.int64()) for n in ("doc_id",)]
@@ -148,7 +148,7 @@ def token_pieces(
     ship(docs.sparkSession)
 
     def run(batches):
-        yield from cut_batches(batches, vocabulary, limit, end_id)
+        yield from settled(cut_batches(batches, vocabulary, limit, end_id))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, _PIECES_DDL)

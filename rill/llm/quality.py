@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, utf8
+from .common import settled, ship, stored, utf8
 
 #: Bound of the sample of labelled rows: about so many are fitted on.
 ROWS = 20_000
@@ -210,8 +210,7 @@ def with_statistics(docs: DataFrame, text: str, name: str) -> DataFrame:
     ddl = ", ".join(f"{s} double" for s in STATISTICS)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([statistics(t) for t in s], columns=list(STATISTICS), dtype="float64")
+        yield from settled(pd.DataFrame([statistics(t) for t in s], columns=list(STATISTICS), dtype="float64") for s in batches)
 
     # Annotations are strings here, so the kind of function is given by them once resolved.
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, ship, tokenizer_path
+from .common import by_bytes, settled, ship, tokenizer_path
 
 CALL_CHARS = 400_000
 LONG_CHARS = 40_000
@@ -89,7 +89,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
     ship(docs.sparkSession)
 
     def run(batches):
-        yield from count_batches(batches, vocabulary)
+        yield from settled(count_batches(batches, vocabulary))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint")
@@ -103,7 +103,7 @@ class WordEncoder:
     #: Words that are encoded as one text.
     JOINED = 1000
 
-    def __init__(self, vocabulary: str, most: int = 1_000_000):
+    def __init__(self, vocabulary: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -28,7 +28,7 @@ import zstandard as Z
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, ship, utf8, words_of
+from .common import by_bytes, settled, ship, utf8, words_of
 
 #: Bounds of the sample of labelled rows: about so many are read.
 TOXIC_ROWS = 2500
@@ -256,4 +256,4 @@ def score_toxicity(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["doc_id", "score"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, score double")
+    return rows.mapInArrow(lambda batches: settled(run(batches)), "doc_id bigint, score double")
