@@ -16,7 +16,6 @@ from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -282,6 +281,7 @@ def traced(function: Callable, args: list[Typed], reduce: Callable[[Callable, Ty
 
 def arrow_function(function: Callable, args: list[Typed], returns: str, fill: Any) -> Typed:
     """A row-wise function in Arrow batches. It sees the rows where no argument is missing, or ``fill`` there."""
+    import pandas as pd
 
     def run(*series: pd.Series) -> pd.Series:
         missing = pd.concat([s.isna() for s in series], axis=1).any(axis=1) if series else pd.Series(dtype=bool)

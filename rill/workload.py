@@ -6,7 +6,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -43,21 +42,25 @@ def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*[F.count_if(F.col(f"`{n}`").isNull()).alias(n) for n in df.columns])
 
 
-def nearest_quantile(df: DataFrame, value: str, q: float, where: Column | None = None) -> Column:
-    """The value at position round(q * (n - 1)) in ascending order, as a scalar subquery.
+def nearest_quantile(df: DataFrame, value: str, q: float, where: Column | None = None, cells: int = 4096) -> Column:
+    """The value at position round(q * (n - 1)) in ascending order, as a constant; null without values. Runs jobs.
 
-    Values are counted first, so what is sorted are distinct values; their running counts are kept per range partition
-    and offset by those of earlier ones: no task holds all values."""
+    Each job counts the values of the interval that holds the position in ``cells`` equal parts; the part that holds it
+    is the next interval, until it has one value. No values are sorted or gathered, only counts of parts."""
     own = df if where is None else df.where(where)
-    counts = own.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id())
-    sums = ranged.groupBy("p").agg(F.sum("n").alias("s"))
-    before = sums.withColumn("before", F.coalesce(F.sum("s").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    run = F.sum("n").over(W.partitionBy("p").orderBy("v")) + F.col("before")
-    placed = ranged.join(F.broadcast(before.drop("s")), "p").withColumn("run", run)  # a row for each partition
-    total = counts.agg(F.sum("n")).scalar()
-    at = F.floor((total - 1) * F.lit(q) + 0.5)
-    return placed.where(F.col("run") > at).agg(F.min("v")).scalar()
+    v = F.col(value).cast("double")
+    own = own.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
+    ends = own.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    low, high, left = ends[0], ends[1], int((ends[2] - 1) * q + 0.5)
+    while low is not None and low < high:
+        part = F.least(F.floor((F.col("v") - low) / ((high - low) / cells)), F.lit(cells - 1)).alias("part")
+        inside = own.where(F.col("v").between(low, high)).groupBy(part)
+        for r in sorted(inside.agg(F.min("v").alias("a"), F.max("v").alias("z"), F.count("*").alias("n")).collect()):
+            if left < r["n"]:
+                low, high = r["a"], r["z"]
+                break
+            left -= r["n"]
+    return F.lit(low).cast("double")
 
 
 def pivot_mean(df: DataFrame, index: str, columns: str, values: str, levels: list) -> DataFrame:
