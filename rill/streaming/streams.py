@@ -29,7 +29,9 @@ def on_stream(pipeline: Pipeline, stream: Frame) -> Frame:
 
 def windowed(frame: Frame, time: str, every: str, late: str, keys: tuple[str, ...] = (), value: str | None = None) -> SparkFrame:
     """Counts (and sums of a value) by window and keys; rows later than ``late`` may be dropped on a stream."""
-    at = frame.sdf.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    at = frame.sdf
+    if at.isStreaming:  # watermarks need the session's time zone
+        at = at.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     aggregates = [F.count("*").alias("n")] + ([F.sum(value).alias("total")] if value else [])
     out = at.groupBy(F.window(time, every).alias("w"), *keys).agg(*aggregates)
     return out.select(F.col("w.start").alias("start"), *keys, *[c for c in out.columns if c in ("n", "total")])
