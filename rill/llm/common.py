@@ -13,9 +13,9 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import io
 import os
 import shutil
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -23,6 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,29 +62,57 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a new table."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder once and returns the table written."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        at, fs = hadoop_path(t.sparkSession, t._stored_at)
+        fs.delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all stored tables of this session; frames that read them stop working."""
+    at, fs = hadoop_path(spark, shared_folder(spark))
+    fs.delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors, also where they do not share the driver's Python path."""
+    """Makes this package importable on executors, also where they do not share the driver's Python path: a zip of its
+    sources in the shared folder, added once to a session."""
     sc = spark.sparkContext
     root = Path(__file__).resolve().parents[1]
     name = f"{root.name}_package.zip"
     if any(os.path.basename(f) == name for f in getattr(sc, "_python_includes", [])):
         return
-    folder = tempfile.mkdtemp()
-    with zipfile.ZipFile(f"{folder}/{name}", "w") as z:
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(f"{folder}/{name}")
-    shutil.rmtree(folder, ignore_errors=True) if not sc.master.startswith("local") else atexit.register(
-        shutil.rmtree, folder, ignore_errors=True
-    )
+    at, fs = hadoop_path(spark, f"{shared_folder(spark)}/{name}")
+    out = fs.create(at)
+    out.write(body.getvalue())
+    out.close()
+    sc.addPyFile(f"{shared_folder(spark)}/{name}")
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, in the JVM."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def settled(batches: Iterator) -> Iterator:
@@ -109,11 +138,24 @@ def utf8(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 
 
-def by_bytes(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with at most ``most`` bytes in a text column, one row at least: views, no copies."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        i = 0
+        while i < len(ends):
+            before = ends[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
+def by_bytes(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
     """Cuts a list of texts into runs [i, j) of at most ``most`` characters, one text at least."""
     i = size = 0
     for j, t in enumerate(texts):
-        n = len(t) if t else 0
+        n = len(t)
         if j > i and size + n > most:
             yield i, j
             i, size = j, 0
@@ -122,6 +164,42 @@ def by_bytes(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
         yield i, len(texts)
 
 
+def text_key(text):
+    """A hash that tells rows of one id with different texts apart."""
+    return F.xxhash64(text, F.isnull(text))
+
+
+#: Bits of the filter below: it takes 4 MB at most, whatever it stands for.
+FILTER_BITS = 1 << 24
+
+
+def flagged(rows: DataFrame, listed: DataFrame, keys: list, flag: str) -> DataFrame:
+    """Adds a boolean: false where a row's keys are surely not in listed (whose columns are in the order of keys).
+
+    A bitmap of hashes, of bounded size, goes to all tasks, so that a join with listed need not shuffle most of rows. The
+    more rows are listed, the more pass: it saves work and decides nothing."""
+    slot = F.pmod(F.xxhash64(*listed.columns), F.lit(FILTER_BITS)).alias("slot")
+    word = F.expr("shiftright(slot, 6)").alias("_word")
+    bits = listed.select(slot).groupBy(word).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("_bits"))
+    own = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    # bits has FILTER_BITS / 64 rows of two numbers at most.
+    found = rows.withColumn("_slot", own).join(F.broadcast(bits), F.expr("shiftright(_slot, 6)") == F.col("_word"), "left")
+    held = F.coalesce(F.expr("(shiftright(_bits, cast(_slot % 64 as int)) & 1L) = 1"), F.lit(False))
+    return found.withColumn(flag, held).drop("_slot", "_word", "_bits")
+
+
+def without(rows: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """rows, with all columns, less those whose id and text are in gone (id, key); a null id is an id.
+
+    Rows that are surely not in gone skip the join, so texts that stay are not shuffled."""
+    listed = stored(gone.select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct(), "gone")
+    key, own = F.col(doc_id).cast("long"), text_key(F.col(text))
+    seen = flagged(rows, listed, [key, own], "_maybe")
+    same = key.eqNullSafe(F.col("_gone_id")) & (own == F.col("_gone_key"))
+    rest = seen.where("_maybe").join(listed, same, "left_anti")
+    return seen.where("not _maybe").unionByName(rest).drop("_maybe")
+
+
 def word_codes(words: list[bytes]) -> np.ndarray:
     """A 64-bit code for each word (the same on every machine)."""
     import xxhash

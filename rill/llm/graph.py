@@ -5,31 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): each node of edges (a, b), and the smallest node of its component.
 
-    Rounds of two steps, each a grouped minimum and a join: a node takes the least label around it, then its label's
-    label. Paths shorten by half each round, so rounds grow with the logarithm of the longest. Each round's labels are a
-    stored table. Sums go before the shuffle, so a hub's neighbours do not gather.
+    A round: each node takes the least label around it, then the label that this one has. What a label has seen doubles
+    each round, so rounds grow with the logarithm of the longest path. Each round's labels are a stored table. Minima go
+    before the shuffle, so a hub's neighbours do not gather.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-    labels = stored(labels.select("node", F.least("node", "low").alias("label")), "labels")
-    while True:
-        around = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        )
-        # A node also takes what its neighbours reach, and hands that to the label it had.
-        near = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("low"))
-        given = near.groupBy(F.col("label").alias("node")).agg(F.min("low").alias("given"))
-        low = near.join(given, "node", "left").select("node", "label", F.least("low", "given").alias("low"))
-        low = stored(low, "labels")
-        up = low.select(F.col("node").alias("low"), F.col("low").alias("higher"))
-        new = low.join(up, "low").select("node", F.col("higher").alias("new"), (F.col("higher") != F.col("label")).alias("moved"))
-        new = stored(new, "labels")
-        labels = new.select("node", F.col("new").alias("label"))
-        if not new.where("moved").limit(1).count():
-            return labels
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+    labels = stored(first.select("node", F.least("node", "low").alias("label"), F.lit(True).alias("moved")), "labels")
+    while labels.where("moved").limit(1).count():
+        of = labels.select("node", "label")
+        around = both.join(of.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = of.join(around, "node").select("node", "label", F.least("label", "near").alias("low"))
+        known = of.select(F.col("node").alias("low"), F.col("label").alias("further"))
+        new = low.join(known, "low").select("node", F.least("low", "further").alias("new"), "label")
+        new = new.select("node", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved"))
+        old, labels = labels, stored(new, "labels")
+        discard(old)
+    return labels.select("node", "label")

@@ -13,7 +13,8 @@
 Every pair of texts that shares a band is compared exactly; so are all others of the same cluster.
 
 Defined results: a text of fewer words than n, but not none, has one n-gram of all its words; a text without words or
-null has no links and is a class of its own; repeated rows count as copies; rows with a null id get a null class.
+null has no links and is a class of its own; repeated rows count as copies; rows with a null id get the class of an equal
+text, or a null one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, settled, ship, shingle_hashes, stored, word_codes, words_of
+from .common import flagged, settled, ship, shingle_hashes, slices, stored, text_key, without, word_codes, words_of
 from .graph import components
 
 N = 5
@@ -37,8 +38,9 @@ MOST_HASHES = 256
 BLOCK_ROWS = 256
 BLOCK_GRAMS = 1 << 19
 SEED = 7
+CALL_BYTES = 1_000_000
 
-_SIGNED_DDL = "doc_id bigint, set_key binary, grams int, bands array<bigint>"
+_SIGNED_DDL = "doc_id bigint, text_key bigint, set_key binary, grams int, bands array<bigint>"
 
 
 def choose_bands(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -83,24 +85,23 @@ def gram_set(text: str | None, n: int) -> np.ndarray:
 
 
 def sign_batches(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """(id, key of the text, text) -> id, key, set key, size of the set and band hashes."""
     import xxhash
 
     a, b = multipliers(bands * rows)
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        keys, sizes, own = [], [], []
-        for i, j in by_bytes(texts, 1_000_000):
-            found = [words_of(t) for t in texts[i:j]]
-            codes = word_codes([w for f in found for w in f])
-            ends = np.cumsum([len(f) for f in found])
-            for f, end in zip(found, ends):
-                grams = np.unique(shingle_hashes(codes[end - len(f) : end], n))
-                sizes.append(len(grams))
-                keys.append(xxhash.xxh3_128_digest(grams.astype("<u8").tobytes()) if len(grams) else None)
-                own.append(band_hashes(minhash(grams, a, b), bands, rows) if len(grams) else None)
+    for batch in slices(batches, 2, CALL_BYTES):
+        found = [words_of(t) for t in batch.column(2).to_pylist()]
+        codes = word_codes([w for f in found for w in f])
+        keys, sizes, own, end = [], [], [], 0
+        for f in found:
+            end += len(f)
+            grams = np.unique(shingle_hashes(codes[end - len(f) : end], n))
+            sizes.append(len(grams))
+            keys.append(xxhash.xxh3_128_digest(grams.astype("<u8").tobytes()) if len(grams) else None)
+            own.append(band_hashes(minhash(grams, a, b), bands, rows) if len(grams) else None)
+        columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(own, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(own, pa.list_(pa.int64()))],
-            names=["doc_id", "set_key", "grams", "bands"],
+            [batch.column(0), batch.column(1), *columns], names=["doc_id", "text_key", "set_key", "grams", "bands"]
         )
 
 
@@ -160,7 +161,7 @@ def verify_batches(batches: Iterator[pa.RecordBatch], n: int, threshold: float)
         if pair and split is None:  # one of the two blocks is empty
             near[:] = False
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(near @ copies), pa.array(roots(near, ids))], names=["rep", "links", "root"]
+            [pa.array(ids), pa.array(near @ copies), pa.array(roots(near, ids))], names=["node", "links", "root"]
         )
 
     for batch in batches:
@@ -184,37 +185,47 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, class_id (the smallest id that links lead to), rep_id (the smallest id of the same n-gram set) and n_links
     (other rows of at least the similarity) of every row."""
-    spark = docs.sparkSession
-    ship(spark)
+    return classified(docs, n, threshold, recall, doc_id, text).drop("text_key")
+
+
+def classified(docs: DataFrame, n: int, threshold: float, recall: float, doc_id: str, text: str) -> DataFrame:
+    """near_duplicates with a hash of each row's text. An n-gram set is a node, numbered by a hash of its key, so ids that
+    repeat with different texts stay apart."""
+    ship(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
 
     def sign(batches):
         yield from settled(sign_batches(batches, n, bands, rows))
 
     signed = stored(given.mapInArrow(sign, _SIGNED_DDL), "signed")
     with_words = signed.where("set_key is not null and doc_id is not null")
-    reps = stored(
-        with_words.groupBy("set_key").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands")
-        ),
-        "reps",
+    reps = with_words.groupBy("set_key").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("first"),
+        F.count("*").alias("copies"),
+        F.first("grams").alias("grams"),
+        F.first("bands").alias("bands"),
     )
+    reps = reps.select("set_key", F.xxhash64("set_key").alias("node"), "first.*", "copies", "grams", "bands")
+    reps = stored(reps.withColumnRenamed("doc_id", "rep"), "reps")
     linked, forest = verified(given, reps, n, threshold)
-    classes = components(forest)
+    labels = components(forest)
+    ids = labels.join(reps.select("node", "rep"), "node")
+    classes = ids.groupBy("label").agg(F.min("rep").alias("class_id"))
     known = (
-        reps.select("set_key", "rep", "copies")
-        .join(linked, "rep", "left")
-        .join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+        reps.select("set_key", "node", "rep", "copies")
+        .join(linked, "node", "left")
+        .join(labels.join(classes, "label").select("node", "class_id"), "node", "left")
         .select(
             "set_key",
             "rep",
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("label", "rep").alias("class_id"),
+            F.coalesce("class_id", "rep").alias("class_id"),
         )
     )
-    return signed.select("doc_id", "set_key").join(known, "set_key", "left").select(
+    return signed.select("doc_id", "text_key", "set_key").join(known, "set_key", "left").select(
         "doc_id",
+        "text_key",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("rep", "doc_id").alias("rep_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -222,30 +233,33 @@ def near_duplicates(
 
 
 def verified(given: DataFrame, reps: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(rep, links) of the representatives with candidates, and a forest of links (a, b)."""
-    entries = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    """(node, links) of the sets with candidates, and a forest of links (a, b)."""
+    entries = reps.select("node", F.explode("bands").alias("band"))
+    buckets = entries.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
     stars = stored(
-        entries.join(buckets, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(),
+        entries.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(),
         "stars",
     )
     clusters = components(stars)
-    member = clusters.withColumnRenamed("node", "rep").join(reps.select("rep", "copies", "grams"), "rep")
-    sizes = clusters.join(reps.select(F.col("rep").alias("node"), "grams"), "node").groupBy("label").agg(
+    member = clusters.join(reps.select("node", "rep", "text_key", "copies", "grams"), "node")
+    sizes = member.groupBy("label").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("grams").cast("long")) / BLOCK_GRAMS)).cast("int").alias("blocks")
     )
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     units = member.join(sizes, "label").withColumn("block", block)
+    units = stored(units.select("node", "rep", "text_key", "copies", "label", "block", "blocks"), "units")
+    # The first row of each set, whose text stands for it.
+    wanted = units.select(F.col("rep").alias("doc_id"), "text_key")
+    maybe = flagged(given, wanted, ["doc_id", "text_key"], "maybe").where("maybe").drop("maybe")
+    texts = maybe.join(wanted, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
     # Block i meets every block j: in unit (min, max).
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = stored(units.select("rep", "copies", "label", "block", "blocks"), "units")
-    texts = units.select("rep").join(first_texts(given, units), "rep")
-    paired = units.join(texts, "rep").withColumn("other", other)
+    paired = units.join(texts.withColumnRenamed("doc_id", "rep"), ["rep", "text_key"]).withColumn("other", other)
     low, high = F.least("block", "other"), F.greatest("block", "other")
     rows = paired.select(
         F.concat_ws(",", "label", low, high).alias("unit"),
         "block",
-        "rep",
+        "node",
         "copies",
         "text",
         (low != high).alias("pair"),
@@ -255,27 +269,30 @@ def verified(given: DataFrame, reps: DataFrame, n: int, threshold: float) -> tup
     def verify(batches):
         yield from settled(verify_batches(batches, n, threshold))
 
-    found = stored(dealt.mapInArrow(verify, "rep bigint, links bigint, root bigint"), "verified")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    forest = found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
+    found = stored(dealt.mapInArrow(verify, "node bigint, links bigint, root bigint"), "verified")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    forest = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     return links, stored(forest, "forest")
 
 
-def first_texts(given: DataFrame, units: DataFrame) -> DataFrame:
-    """The text of each representative; of rows with the same id, one that has words."""
-    return (
-        given.join(units.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .groupBy(F.col("doc_id").alias("rep"))
-        .agg(F.max("text").alias("text"))
-    )
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without all but one row of each near-duplicate class: the row whose id is the class's; rows with the same id
-    as that one stay, and rows with a null id."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **how)
-    gone = stored(found.where("doc_id <> class_id").select(F.col("doc_id").alias(doc_id)).distinct(), "copies")
-    return docs.join(gone, doc_id, "left_anti")
+def keep_one(
+    docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """docs with one row of each near-duplicate class: one whose id is the class's (of rows with that id and equal n-gram
+    sets, one with the text that comes first); rows with a null id or without words stay."""
+    found = classified(docs, n, threshold, recall, doc_id, text)
+    known = found.where("doc_id is not null and (n_links > 0 or class_id <> doc_id)")
+    chosen = known.where("doc_id = class_id").groupBy("class_id").agg(F.min("text_key").alias("kept"), F.count("*").alias("rows"))
+    chosen = stored(chosen, "chosen")
+    gone = known.join(chosen, "class_id").where("doc_id <> class_id or text_key <> kept")
+    rest = without(docs, gone.select(F.col("doc_id").alias("id"), "text_key").withColumnRenamed("text_key", "key"), doc_id, text)
+    twice = chosen.where("rows > 1").select(F.col("class_id").alias("_id"), F.col("kept").alias("_key"))
+    if not twice.limit(1).count():
+        return rest
+    # Rows repeated with id and text: one of each.
+    same = (F.col(doc_id).cast("long") == F.col("_id")) & (text_key(F.col(text)) == F.col("_key"))
+    once = rest.join(twice, same, "left_semi").dropDuplicates([doc_id, text])
+    return rest.join(twice, same, "left_anti").unionByName(once)
 
 
 def brute_force(docs: list[tuple[int, str | None]], n: int = N, threshold: float = THRESHOLD) -> dict[int, tuple[int, int]]:

@@ -39,6 +39,15 @@ def test_repeated_rows_and_empty_table(spark):
     assert J.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_different_texts(spark):
+    a, b, d = "a b c d e f g h", "n o p q r s t u", "n o p q r s t u v"
+    rows = [(7, a), (7, b), (3, d), (9, a), (9, a), (12, "x y z"), (12, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in J.near_duplicates(df).collect())
+    assert got == [(3, 3, 3, 1), (7, 3, 7, 1), (7, 7, 7, 2), (9, 7, 7, 2), (9, 7, 7, 2), (12, 12, 12, 1), (12, 12, 12, 1)]
+    assert sorted(tuple(r) for r in J.keep_one(df).collect()) == [(3, d), (7, a), (12, "x y z")]
+
+
 def test_keep_one_keeps_columns(spark):
     docs = made(2)
     df = spark.createDataFrame([(*x, "en") for x in docs], "doc_id long, text string, lang string")
