@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document. Every row is a segment: some whole documents (at most ``SEGMENT_CHARS`` characters,
+The index is partitioned by document. Every row is a segment: some whole documents (at most ``SEGMENT_BYTES`` of text,
 or one longer document) and, for each benchmark term, the ascending list of its positions in the segment. Building it
 needs no shuffle and no frequent term gathers anywhere. Positions of consecutive documents are a gap apart that no
 window can bridge. The index is a stored table; a search reads it and never the texts.
@@ -25,14 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, settled, ship, stored, utf8, words_of
+from .common import settled, ship, slices, stored, text_key, without, words_of
 
-SEGMENT_CHARS = 2_000_000
+SEGMENT_BYTES = 2_000_000
 BLOCK_BYTES = 8_000_000
 #: Lists are intersected for so many candidates at a time.
 CANDIDATES = 2_000_000
@@ -106,28 +105,20 @@ def _starts(lengths: np.ndarray, gap: int) -> np.ndarray:
 
 
 def index_segments(batches: Iterator[pa.RecordBatch], terms: dict[bytes, int], gap: int) -> Iterator[pa.RecordBatch]:
+    """A row of the index for each run of rows (id, key, text)."""
     get = terms.get
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, j in by_bytes(texts, SEGMENT_CHARS):
-            lengths, codes = [], []
-            for t in texts[i:j]:
-                found = words_of(t)
-                lengths.append(len(found))
-                codes.append(np.array([get(w, -1) for w in found], np.int64))
-            starts = _starts(np.array(lengths, np.int64), gap)
-            pos = [np.arange(s, s + n, dtype=np.int64) for s, n in zip(starts, lengths)]
-            code, at = np.concatenate(codes), np.concatenate(pos)
-            keep = code >= 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[i:j]], _INDEX.field(0).type),
-                    pa.array([[xxhash.xxh3_64_intdigest(utf8(t or "")) >> 1 for t in texts[i:j]]], _INDEX.field(1).type),
-                    pa.array([lengths], _INDEX.field(2).type),
-                    pa.array([pack_postings(code[keep], at[keep])], pa.binary()),
-                ],
-                schema=_INDEX,
-            )
+    for batch in slices(batches, 2, SEGMENT_BYTES):
+        lengths, codes = [], []
+        for t in batch.column(2).to_pylist():
+            found = words_of(t)
+            lengths.append(len(found))
+            codes.append(np.fromiter((get(w, -1) for w in found), np.int64, len(found)))
+        starts = _starts(np.array(lengths, np.int64), gap)
+        pos = [np.arange(s, s + n, dtype=np.int64) for s, n in zip(starts, lengths)]
+        code, at = np.concatenate(codes), np.concatenate(pos)
+        keep = code >= 0
+        columns = [[batch.column(0).to_pylist()], [batch.column(1).to_pylist()], [lengths], [pack_postings(code[keep], at[keep])]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _INDEX)], schema=_INDEX)
 
 
 class Segment:
@@ -148,8 +139,8 @@ class Segment:
         key = self.keys[at]
         return (key >= term * self.SHIFT + np.maximum(low, 0)) & (key <= term * self.SHIFT + high)
 
-    def search(self, windows: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Matches as (window, start), from intersecting each window's lists from the rarest term on."""
+    def search(self, windows: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Matches as (window, start, place of its rarest term), from intersecting each window's lists from the rarest term on."""
         if not len(windows) or not len(self.keys):
             return
         freq = self.freq[windows]
@@ -171,7 +162,7 @@ class Segment:
                 ok = self.within(term, expect - slop, expect + slop)
                 row, start = row[ok], start[ok]
             ok = start >= 0 if not slop else np.ones(len(row), bool)
-            yield live[row[ok]], start[ok]
+            yield live[row[ok]], start[ok], start[ok] + order[row[ok], 0]
             i = j
 
 
@@ -198,7 +189,7 @@ def search_segments(
             items: dict[int, set[int]] = {}
             near: dict[int, set[int]] = {}
             for n, (windows, holders) in block.groups.items():
-                for w, at in segment.search(windows, 0):
+                for w, at, _ in segment.search(windows, 0):
                     doc = np.searchsorted(starts, at, side="right") - 1
                     for d, s in zip(doc.tolist(), (at - starts[doc]).tolist()):
                         spans.setdefault(d, []).append((s, s + n))
@@ -207,8 +198,8 @@ def search_segments(
                         items.setdefault(p // len(windows), set()).update(holders[p % len(windows)])
                 if slop is None:
                     continue
-                for w, at in segment.search(windows, slop):
-                    doc = np.maximum(np.searchsorted(starts, at, side="right") - 1, 0)
+                for w, _, at in segment.search(windows, slop):
+                    doc = np.searchsorted(starts, at, side="right") - 1
                     for p in np.unique(doc * np.int64(len(windows)) + w).tolist():
                         near.setdefault(p // len(windows), set()).update(holders[p % len(windows)])
             name = lambda s: sorted(block.names[i] for i in s or ())
@@ -234,7 +225,7 @@ def build_index(docs: DataFrame, block: Windows, gap: int, doc_id: str = "doc_id
     def build(batches):
         yield from settled(index_segments(batches, pickle.loads(terms.value), gap))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     return stored(rows.mapInArrow(build, _INDEX_DDL), "postings")
 
 
@@ -249,7 +240,7 @@ def find_contamination(
     item_text: str = "text",
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """For each document row: n_words, spans of words inside exact matches, items matched exactly, and items with a
+    """For each document row: key (of its text), n_words, spans of words inside exact matches, items matched exactly, and items with a
     proximity match (every word of a window within ``slop`` of its place; None: not searched)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
@@ -268,7 +259,7 @@ def find_contamination(
         index = build_index(docs, block, gap, doc_id, text)
         found.append(index.select(*_INDEX.names).mapInArrow(search, _MATCH_DDL))
     if n_blocks == 1:
-        return found[0].drop("key")
+        return found[0]
     merged = found[0]
     for f in found[1:]:
         merged = merged.unionByName(f)
@@ -278,7 +269,7 @@ def find_contamination(
         merged.groupBy("doc_id", "key", "n_words")
         .agg(F.count("*").alias("rows"), flat("spans"), flat("items"), flat("near_items"))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("rows") / n_blocks).cast("int"))))
-        .select("doc_id", "n_words", covered("spans").alias("spans"), "items", "near_items")
+        .select("doc_id", "key", "n_words", covered("spans").alias("spans"), "items", "near_items")
     )
 
 
@@ -315,10 +306,10 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_clean(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """docs, with all columns, without the ids that hold any benchmark window; rows with a null id stay."""
+    """docs, with all columns, without the rows that hold any benchmark window."""
     found = find_contamination(docs, benchmark, window, None, doc_id, text)
-    gone = stored(found.where(F.size("items") > 0).select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    gone = found.where(F.size("items") > 0).select(F.col("doc_id").alias("id"), "key")
+    return without(docs, gone, doc_id, text)
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> list[tuple]:

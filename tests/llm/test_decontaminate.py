@@ -47,6 +47,15 @@ def test_proximity_allows_a_word_between(spark):
     assert [(found[i].items, found[i].near_items) for i in (1, 2, 3)] == [(["5"], ["5"]), ([], ["5"]), ([], [])]
 
 
+def test_keep_clean_judges_rows(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, "clean"), (1, item), (None, f"x {item}"), (None, None), (2, "")]
+    d = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, key string")
+    b = spark.createDataFrame([(5, item)], "item_id long, text string")
+    kept = D.keep_clean(d, b)
+    assert kept.columns == d.columns and sorted(map(str, kept.collect())) == sorted(map(str, d.where("text is null or text in ('clean', '')").collect()))
+
+
 def test_given_tables(spark, small):
     from rill.llm.registry import op1_decontamination
 
