@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -207,8 +206,10 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from in_batches(rows(), schema)
 
 
-def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The state before and after each block of one conversation, from the blocks' matrices."""
+def combine(pdf):
+    """The state before and after each block of one conversation, from the blocks' matrices (pandas frames)."""
+    import pandas as pd
+
     pdf = pdf.sort_values("part")
     m = np.array(pdf["costs"].tolist(), np.int64).reshape(-1, 4, 4)
     value = [np.array(WHOLE, np.int64)]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, settled, ship, stored, utf8
+from .common import settled, ship, slices, stored, text_key, utf8, without
 from .toxicity import LOWER
 
 GRAM, TABLE_BITS = 4, 18
@@ -41,6 +41,7 @@ HOST_ROWS, DOMAIN_ROWS = 8.0, 20.0
 #: Declarations and suffixes that get a row of their own; others share one.
 VALUES = 2000
 LEAST_KNOWN, LEAST_CONFIDENCE = 0.35, 0.5
+CALL_BYTES = 1_000_000
 
 
 def grams(b: bytes) -> np.ndarray:
@@ -126,32 +127,30 @@ def text_evidence(rows: DataFrame, model: TextModel, pages: bool) -> DataFrame:
     pages: text is a web page, which also declares its language."""
     ship(rows.sparkSession)
     held = rows.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    rows = rows.select("id", "text", "declared", "url", text_key(F.col("text")).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         m = pickle.loads(held.value)
-        for b in batches:
-            ids, texts, declared, urls = (b.column(i).to_pylist() for i in range(4))
-            for i, j in by_bytes(texts, 1_000_000):
-                raw = texts[i:j]
-                said = [declared_language(t) for t in raw] if pages else [(d or "").strip().lower() for d in declared[i:j]]
-                hosts = [host_of(u) if pages else u or "" for u in urls[i:j]]
-                lik, known = m.evidence([utf8(visible_text(t) if pages else t or "") for t in raw])
-                labels = [h.split(".") for h in hosts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[i:j], pa.int64()),
-                        pa.array(list(lik), pa.list_(pa.float64())),
-                        pa.array(known),
-                        pa.array(said),
-                        pa.array(hosts),
-                        pa.array([".".join(x[-2:]) for x in labels]),
-                        pa.array([x[-1] if len(x) > 1 else "" for x in labels]),
-                    ],
-                    names=["id", "lik", "known", "declared", "host", "domain", "suffix"],
-                )
+        for b in slices(batches, 1, CALL_BYTES):
+            texts, declared, urls = (b.column(i).to_pylist() for i in range(1, 4))
+            said = [declared_language(t) for t in texts] if pages else [(d or "").strip().lower() for d in declared]
+            hosts = [host_of(u) if pages else u or "" for u in urls]
+            lik, known = m.evidence([utf8(visible_text(t) if pages else t or "") for t in texts])
+            labels = [h.split(".") for h in hosts]
+            columns = [
+                b.column(0),
+                pa.array(list(lik), pa.list_(pa.float64())),
+                pa.array(known),
+                pa.array(said),
+                pa.array(hosts),
+                pa.array([".".join(x[-2:]) for x in labels]),
+                pa.array([x[-1] if len(x) > 1 else "" for x in labels]),
+                b.column(4),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "lik", "known", "declared", "host", "domain", "suffix", "key"])
 
     return rows.mapInArrow(
-        lambda batches: settled(run(batches)), "id bigint, lik array<double>, known double, declared string, host string, domain string, suffix string"
+        lambda batches: settled(run(batches)), "id bigint, lik array<double>, known double, declared string, host string, domain string, suffix string, key bigint"
     )
 
 
@@ -163,10 +162,10 @@ def softmax(scores: list[Column]) -> list[Column]:
 
 
 def fuse(seen: DataFrame, names: list[str]) -> DataFrame:
-    """id, lang, confidence, text_lang, declared, host of every row of stored text evidence."""
+    """id, lang, confidence, text_lang, declared, host and text key of every row of stored text evidence."""
     if not names:
         und = F.lit("und")
-        return seen.select("id", und.alias("lang"), F.lit(0.0).alias("confidence"), und.alias("text_lang"), "declared", "host")
+        return seen.select("id", und.alias("lang"), F.lit(0.0).alias("confidence"), und.alias("text_lang"), "declared", "host", "key")
     k = len(names)
     lik = [F.col("lik")[i] * TEMPER for i in range(k)]
     own = [F.when(F.col("known") >= LEAST_KNOWN, p).otherwise(F.lit(0.0)) for p in softmax(lik)]
@@ -190,7 +189,7 @@ def fuse(seen: DataFrame, names: list[str]) -> DataFrame:
     prior = [F.greatest(F.col(f"h{i}") - F.col(f"p{i}"), F.lit(0.0)) + HOST_ROWS * F.col(f"q{i}") for i in range(k)]
     total = reduce(Column.__add__, prior)
     final = softmax([s + F.log(p / total) for s, p in zip(scores, prior)])
-    out = joined.select("id", "known", "declared", "host", F.array(*lik).alias("lik"), F.array(*final).alias("post"))
+    out = joined.select("id", "known", "declared", "host", "key", F.array(*lik).alias("lik"), F.array(*final).alias("post"))
     lang = F.array(*map(F.lit, names))
     first = lambda c: lang[F.array_position(c, F.array_max(c)).cast("int") - 1]
     ok = (F.col("known") >= LEAST_KNOWN) & (F.array_max("post") >= LEAST_CONFIDENCE)
@@ -201,6 +200,7 @@ def fuse(seen: DataFrame, names: list[str]) -> DataFrame:
         F.when(F.col("known") >= LEAST_KNOWN, first(F.col("lik"))).otherwise("und").alias("text_lang"),
         "declared",
         "host",
+        "key",
     )
 
 
@@ -229,7 +229,7 @@ def given(table: dict[str, list[float]], name: str, k: int) -> list[Column]:
 
 
 def identify(rows: DataFrame, model: TextModel, pages: bool) -> DataFrame:
-    """rows (id, text, declared, url) -> id, lang, confidence, text_lang, declared, host."""
+    """rows (id, text, declared, url) -> id, lang, confidence, text_lang, declared, host, key (of the text)."""
     return fuse(stored(text_evidence(rows, model, pages), "evidence"), model.names)
 
 
@@ -237,7 +237,7 @@ def identify_pages(pages: DataFrame, model: TextModel, page_id: str = "page_id",
     rows = pages.select(
         F.col(page_id).cast("long").alias("id"), F.col(page).alias("text"), F.lit(None).cast("string").alias("declared"), F.col(url).alias("url")
     )
-    return identify(rows, model, pages=True).withColumnRenamed("id", page_id)
+    return identify(rows, model, pages=True).drop("key").withColumnRenamed("id", page_id)
 
 
 def keep_identified(
@@ -252,8 +252,4 @@ def keep_identified(
         F.col(host).cast("string").alias("url"),
     )
     found = identify(rows, model, pages=False)
-    # Rows of one id with different texts are told apart by what the text itself shows, so only ids without any
-    # identified row are rejected here, and rows with a null id when their own text is empty.
-    gone = found.groupBy("id").agg(F.max((F.col("lang") != "und").cast("int")).alias("ok")).where("ok = 0").select("id")
-    gone = stored(gone.where("id is not null"), "rejected")
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("id"), "left_anti")
+    return without(docs, found.where("lang = 'und'").select("id", "key"), doc_id, text)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import new_path, ship, stored
 
 #: Rows that the centre is fitted on, about.
 SAMPLE = 10_000
@@ -167,11 +167,15 @@ def nearest(
     """The k rows of the largest inner product for each row for which the SQL predicate ``queries`` over vec_id holds."""
     spark = vectors.sparkSession
     index, dim, centre = build_index(vectors, vec_id, embedding)
-    asked = index.where(queries)
+    asked = index.where(queries).select("vec_id", "vec")
     n_blocks = max(1, -(-asked.count() * 5 // (BLOCK * 4)))
-    parts = []
+    if n_blocks > 1:  # each block is a folder of its own, and so is read alone
+        at = new_path(spark, "asked")
+        asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).write.partitionBy("block").parquet(at)
+        asked = spark.read.parquet(at)
+    found_at = new_path(spark, "nearest")
     for b in range(n_blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).select("vec_id", "vec").collect()
+        own = (asked.where(F.col("block") == b) if n_blocks > 1 else asked).select("vec_id", "vec").collect()
         one = {}
         for r in sorted(own, key=lambda r: (r.vec_id, bytes(r.vec))):
             one.setdefault(r.vec_id, bytes(r.vec))
@@ -194,12 +198,10 @@ def nearest(
 
         found = index.mapInArrow(run, _FOUND_DDL)
         if n_blocks > 1:
-            found = stored(found, "nearest")
+            found.write.mode("append").parquet(found_at)
             held.destroy()
-        parts.append(found)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    if n_blocks > 1:
+        found = spark.read.schema(found.schema).parquet(found_at)
     # Each task has at most k rows of a query, so a query's rows are k times the tasks.
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -28,7 +28,7 @@ import zstandard as Z
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, settled, ship, utf8, words_of
+from .common import settled, ship, slices, utf8, words_of
 
 #: Bounds of the sample of labelled rows: about so many are read.
 TOXIC_ROWS = 2500
@@ -42,7 +42,7 @@ BASE_BYTES = 32 * 1024
 START, LEAST_COUNT, LEAST_RATIO, LEAST_GAIN = range(4, 13), 8, np.log(8), 25
 FAMILY_WORDS = 60
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-CALL_CHARS = 1_000_000
+CALL_BYTES = 1_000_000
 
 
 def word_counts(texts: list[bytes]) -> tuple[Counter, int]:
@@ -247,12 +247,11 @@ def score_toxicity(
     def run(batches: Iterator[pa.RecordBatch]):
         model = pickle.loads(held.value)
         compressors = model.dictionaries.compressors() if model.constant is None else []
-        for b in batches:
-            own = b.column(1).to_pylist()
-            score = np.full(len(own), model.constant if model.constant is not None else 0.0)
+        for b in slices(batches, 1, CALL_BYTES):
             if model.constant is None:
-                for i, j in by_bytes(own, CALL_CHARS):
-                    score[i:j] = model.scores(own[i:j], compressors)
+                score = model.scores(b.column(1).to_pylist(), compressors)
+            else:
+                score = np.full(len(b), model.constant)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["doc_id", "score"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
