@@ -25,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, ranked, settled, ship, stored
+from .common import ranked, settled, ship, slices, stored
 from .tokens import word_encoder
 
 LIMIT = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Characters that are encoded together.
-CALL_CHARS = 3_000_000
+#: Bytes of text that are encoded together.
+CALL_BYTES = 6_000_000
 
 _PIECES = pa.schema(
     [(n, pa.int64()) for n in ("doc_id",)]
@@ -47,20 +47,17 @@ def cut_batches(
 ) -> Iterator[pa.RecordBatch]:
     encoder = word_encoder(vocabulary)
     end = np.array([end_id], "<u4").tobytes()
-    for batch in batches:
-        docs, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
-        for i, j in by_bytes(texts.to_pylist(), CALL_CHARS):
-            ids, counts = encoder.encode_array(texts.slice(i, j - i))
-            rows: list[tuple] = []
-            last = np.cumsum(counts)
-            for doc, n, z in zip(docs[i:j], counts.tolist(), last.tolist()):
-                body = ids[z - n : z]
-                for k, at in enumerate(range(0, n + 1, limit)):
-                    crc, size = zlib.crc32(body[at : at + limit]), min(n + 1 - at, limit)
-                    if at + size > n:
-                        crc = zlib.crc32(end, crc)
-                    rows.append((doc, k, at, size, crc))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
+    for batch in slices(batches, 1, CALL_BYTES):
+        ids, counts = encoder.encode_array(pc.fill_null(batch.column(1), ""))
+        rows: list[tuple] = []
+        for doc, n, z in zip(batch.column(0).to_pylist(), counts.tolist(), np.cumsum(counts).tolist()):
+            body = ids[z - n : z]
+            for k, at in enumerate(range(0, n + 1, limit)):
+                crc, size = zlib.crc32(body[at : at + limit]), min(n + 1 - at, limit)
+                if at + size > n:
+                    crc = zlib.crc32(end, crc)
+                rows.append((doc, k, at, size, crc))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
 
 
 def fullest(available: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:

@@ -21,9 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, settled, ship, tokenizer_path
+from .common import by_bytes, settled, ship, slices, tokenizer_path
 
 CALL_CHARS = 400_000
+BATCH_BYTES = 4_000_000
 LONG_CHARS = 40_000
 #: A space that no token of a white-space-splitting vocabulary spans.
 SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
@@ -69,7 +70,7 @@ def count_batches(
 ) -> Iterator[pa.RecordBatch]:
     count = batch_counter(vocabulary)
     cut = vocabulary.endswith(".model")
-    for batch in batches:
+    for batch in slices(batches, 1, BATCH_BYTES):
         ids = batch.column(0)
         texts = [t or "" for t in batch.column(1).to_pylist()]
         owner, parts = [], []
@@ -100,10 +101,11 @@ class WordEncoder:
     mark the ends of words."""
 
     WORD_END = "</w>"
+    MARKS = frozenset(",.")
     #: Words that are encoded as one text.
     JOINED = 1000
 
-    def __init__(self, vocabulary: str, most: int = 600_000):
+    def __init__(self, vocabulary: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -135,9 +137,9 @@ class WordEncoder:
     def learn(self, chunks: set[str]) -> None:
         """Puts the ids of new chunks into the cache. A final comma or period after a letter is a token of its own."""
         cache = self.cache
-        ended = [c for c in chunks if c and c[-1] in ",." and c[:-1].isalpha() and plain(c)]
+        ended = [c for c in chunks if c[-1:] in self.MARKS and c[:-1].isalpha() and (c.isascii() or plain(c))]
         new = [c for c in chunks.difference(ended).union([c[:-1] for c in ended], ",.") if c not in cache]
-        words = [c for c in new if c.isalpha() and plain(c)]
+        words = [c for c in new if c.isalpha() and (c.isascii() or plain(c))]
         cache.update(zip(words, self.encode_words(words)))
         rest = [c for c in new if c not in cache] if len(words) < len(new) else []
         for i in range(0, len(rest), 20_000):
