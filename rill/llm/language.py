@@ -18,6 +18,7 @@ texts all rows are ``und``.
 from __future__ import annotations
 
 import html
+import json
 import pickle
 import re
 from collections.abc import Iterator
@@ -122,7 +123,8 @@ def labelled_model(docs: DataFrame, label: str, text: str = "text") -> TextModel
 
 
 def text_evidence(rows: DataFrame, model: TextModel, pages: bool) -> DataFrame:
-    """rows (id, text, declared, url) -> id, lik (log likelihoods), known, declared, host, domain, suffix.
+    """rows (id, text, declared, url) -> id, lik (tempered log likelihoods), own (their shares; zero where the text
+    is not known), known, declared, host, domain, suffix, key (of the text).
 
     pages: text is a web page, which also declares its language."""
     ship(rows.sparkSession)
@@ -136,10 +138,14 @@ def text_evidence(rows: DataFrame, model: TextModel, pages: bool) -> DataFrame:
             said = [declared_language(t) for t in texts] if pages else [(d or "").strip().lower() for d in declared]
             hosts = [host_of(u) if pages else u or "" for u in urls]
             lik, known = m.evidence([utf8(visible_text(t) if pages else t or "") for t in texts])
+            lik = TEMPER * lik
+            own = np.exp(lik - lik.max(axis=1, keepdims=True, initial=-np.inf))
+            own *= (known >= LEAST_KNOWN)[:, None] / own.sum(axis=1, keepdims=True)
             labels = [h.split(".") for h in hosts]
             columns = [
                 b.column(0),
                 pa.array(list(lik), pa.list_(pa.float64())),
+                pa.array(list(own), pa.list_(pa.float64())),
                 pa.array(known),
                 pa.array(said),
                 pa.array(hosts),
@@ -147,18 +153,20 @@ def text_evidence(rows: DataFrame, model: TextModel, pages: bool) -> DataFrame:
                 pa.array([x[-1] if len(x) > 1 else "" for x in labels]),
                 b.column(4),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "lik", "known", "declared", "host", "domain", "suffix", "key"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "lik", "own", "known", "declared", "host", "domain", "suffix", "key"])
 
     return rows.mapInArrow(
-        lambda batches: settled(run(batches)), "id bigint, lik array<double>, known double, declared string, host string, domain string, suffix string, key bigint"
+        lambda batches: settled(run(batches)), "id bigint, lik array<double>, own array<double>, known double, declared string, host string, domain string, suffix string, key bigint"
     )
 
 
-def softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    e = [F.exp(s - top) for s in scores]
-    total = reduce(Column.__add__, e)
-    return [x / total for x in e]
+def plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def sums(k: int, array: str) -> Column:
+    """The sum of arrays, place by place."""
+    return F.array(*[F.coalesce(F.sum(F.col(array)[i]), F.lit(0.0)) for i in range(k)])
 
 
 def fuse(seen: DataFrame, names: list[str]) -> DataFrame:
@@ -167,37 +175,32 @@ def fuse(seen: DataFrame, names: list[str]) -> DataFrame:
         und = F.lit("und")
         return seen.select("id", und.alias("lang"), F.lit(0.0).alias("confidence"), und.alias("text_lang"), "declared", "host", "key")
     k = len(names)
-    lik = [F.col("lik")[i] * TEMPER for i in range(k)]
-    own = [F.when(F.col("known") >= LEAST_KNOWN, p).otherwise(F.lit(0.0)) for p in softmax(lik)]
-    seen = seen.select("*", *[p.alias(f"p{i}") for i, p in enumerate(own)])
-    sums = [F.sum(f"p{i}").alias(f"p{i}") for i in range(k)]
-    hosts = stored(seen.groupBy("host", "domain").agg(*sums), "hosts")
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"p{i}").alias(f"d{i}") for i in range(k)])
-    all_ = np.array([[v or 0.0 for v in hosts.agg(*sums).first()]])[0]
-    base = (all_ + 1.0) / (all_ + 1.0).sum()
-    at_domain = [F.col(f"d{i}") + DOMAIN_ROWS * float(base[i]) for i in range(k)]
-    total = reduce(Column.__add__, at_domain)
-    hosts = hosts.join(domains, "domain").select(
-        "host", *[F.col(f"p{i}").alias(f"h{i}") for i in range(k)], *[(c / total).alias(f"q{i}") for i, c in enumerate(at_domain)]
-    )
-    scores = lik
+    hosts = stored(seen.groupBy("host", "domain").agg(sums(k, "own").alias("at_host")), "hosts")
+    all_ = np.array(hosts.agg(sums(k, "at_host")).first()[0])
+    base = F.array(*[F.lit(float(x)) for x in DOMAIN_ROWS * (all_ + 1.0) / (all_ + 1.0).sum()])
+    domains = hosts.groupBy("domain").agg(sums(k, "at_host").alias("at_domain")).select("domain", plus(F.col("at_domain"), base).alias("at_domain"))
+    total = F.aggregate("at_domain", F.lit(0.0), lambda a, x: a + x)
+    parents = domains.select("domain", total.alias("total"), "at_domain")
+    parents = parents.select("domain", F.transform("at_domain", lambda x: HOST_ROWS * x / F.col("total")).alias("parent"))
+    # One row for each host and domain.
+    hosts = hosts.join(parents, "domain").select("host", "at_host", "parent")
+    score = F.col("lik")
     for name in ("declared", "suffix"):
-        table = reliability(seen, name, k)
-        scores = [s + p for s, p in zip(scores, given(table, name, k))]
-    joined = seen.join(hosts, "host")
-    # The host's sums without the row itself.
-    prior = [F.greatest(F.col(f"h{i}") - F.col(f"p{i}"), F.lit(0.0)) + HOST_ROWS * F.col(f"q{i}") for i in range(k)]
-    total = reduce(Column.__add__, prior)
-    final = softmax([s + F.log(p / total) for s, p in zip(scores, prior)])
-    out = joined.select("id", "known", "declared", "host", "key", F.array(*lik).alias("lik"), F.array(*final).alias("post"))
+        score = plus(score, given(reliability(seen, name, k), name))
+    joined = seen.withColumn("score", score).join(hosts, "host")
+    # The host's sums without the row itself. What all languages' priors are divided by cancels.
+    rest = F.zip_with("at_host", "own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    joined = joined.withColumn("post", F.zip_with("score", plus(rest, F.col("parent")), lambda x, p: x + F.log(p)))
+    joined = joined.withColumn("top", F.array_max("post"))
+    share = 1 / F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    joined = joined.withColumn("share", F.when(F.col("known") >= LEAST_KNOWN, share).otherwise(0.0))
     lang = F.array(*map(F.lit, names))
-    first = lambda c: lang[F.array_position(c, F.array_max(c)).cast("int") - 1]
-    ok = (F.col("known") >= LEAST_KNOWN) & (F.array_max("post") >= LEAST_CONFIDENCE)
-    return out.select(
+    first = lambda c, top: lang[F.array_position(c, top).cast("int") - 1]
+    return joined.select(
         "id",
-        F.when(ok, first(F.col("post"))).otherwise("und").alias("lang"),
-        F.when(F.col("known") >= LEAST_KNOWN, F.array_max("post")).otherwise(0.0).alias("confidence"),
-        F.when(F.col("known") >= LEAST_KNOWN, first(F.col("lik"))).otherwise("und").alias("text_lang"),
+        F.when(F.col("share") >= LEAST_CONFIDENCE, first("post", F.col("top"))).otherwise("und").alias("lang"),
+        F.col("share").alias("confidence"),
+        F.when(F.col("known") >= LEAST_KNOWN, first("lik", F.array_max("lik"))).otherwise("und").alias("text_lang"),
         "declared",
         "host",
         "key",
@@ -206,26 +209,21 @@ def fuse(seen: DataFrame, names: list[str]) -> DataFrame:
 
 def reliability(seen: DataFrame, name: str, k: int) -> dict[str, list[float]]:
     """log P(value | language) of the VALUES commonest values; "*" stands for each other one."""
-    sums = [F.sum(f"p{i}").alias(f"p{i}") for i in range(k)]
-    groups = seen.groupBy(name).agg(F.count("*").alias("n"), *sums)
+    groups = seen.groupBy(name).agg(F.count("*").alias("n"), sums(k, "own").alias("own"))
     top = groups.orderBy(F.desc("n"), name).limit(VALUES).collect()
-    all_ = seen.agg(*sums).first()
-    total = np.array([v or 0.0 for v in all_])
-    rows = {r[name]: np.array([r[f"p{i}"] for i in range(k)]) for r in top}
+    total = np.array(seen.agg(sums(k, "own")).first()[0])
+    rows = {r[name]: np.array(r["own"]) for r in top}
     rest = np.maximum(total - sum(rows.values(), np.zeros(k)), 0)
     size = total + 0.5 * (len(rows) + 1)
     out = {v: np.log((c + 0.5) / size).tolist() for v, c in rows.items()}
     return out | {"*": np.log((rest + 0.5) / size).tolist()}
 
 
-def given(table: dict[str, list[float]], name: str, k: int) -> list[Column]:
-    """For each language the log probability of a row's value."""
-    values = [v for v in table if v != "*"]
-    if not values:
-        return [F.lit(0.0)] * k
-    m = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[F.array(*map(F.lit, table[v])) for v in values]))
-    found = F.coalesce(F.try_element_at(m, F.col(name)), F.array(*map(F.lit, table["*"])))
-    return [found[i] for i in range(k)]
+def given(table: dict[str, list[float]], name: str) -> Column:
+    """The log probabilities of a row's value."""
+    known = F.from_json(F.lit(json.dumps({v: x for v, x in table.items() if v != "*"})), "map<string,array<double>>")
+    other = F.array(*map(F.lit, table["*"]))
+    return F.coalesce(F.try_element_at(known, F.col(name)), other)
 
 
 def identify(rows: DataFrame, model: TextModel, pages: bool) -> DataFrame:
