@@ -35,6 +35,9 @@ WORD_TABLE = bytes(
 #: The vocabulary folder of the public tokenizers.
 TOKENIZER_DIR = "/opt/tokenizers"
 
+#: Spark's bound on the bytes of an Arrow batch, and its default.
+BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _folders: dict[str, str] = {}
 
 
@@ -92,7 +95,10 @@ def clear(spark: SparkSession) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on executors, also where they do not share the driver's Python path: a zip of its
-    sources in the shared folder, added once to a session."""
+    sources in the shared folder, added once to a session. Arrow batches, which hold whole texts here, get a bound of 8 MB
+    unless the session has set one of its own."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, "8m")
     sc = spark.sparkContext
     root = Path(__file__).resolve().parents[1]
     name = f"{root.name}_package.zip"
