@@ -34,8 +34,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
+    """Every document in sequences of at most 4096 tokens. Executors still hold what earlier stages took, so the encoder
+    works in smaller calls and with a smaller cache."""
+    return packing.pack(docs, call_bytes=2_000_000, cached=200_000)
 
 
 STAGES = [

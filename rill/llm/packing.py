@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ranked, settled, ship, slices, stored
-from .tokens import word_encoder
+from .tokens import CACHED, word_encoder
 
 LIMIT = 4096
 END_ID = 1
@@ -43,11 +43,16 @@ _PIECES_DDL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32
 
 
 def cut_batches(
-    batches: Iterator[pa.RecordBatch], vocabulary: str, limit: int, end_id: int
+    batches: Iterator[pa.RecordBatch],
+    vocabulary: str,
+    limit: int,
+    end_id: int,
+    call_bytes: int = CALL_BYTES,
+    cached: int = CACHED,
 ) -> Iterator[pa.RecordBatch]:
-    encoder = word_encoder(vocabulary)
+    encoder = word_encoder(vocabulary, cached)
     end = np.array([end_id], "<u4").tobytes()
-    for batch in slices(batches, 1, CALL_BYTES):
+    for batch in slices(batches, 1, call_bytes):
         ids, counts = encoder.encode_array(pc.fill_null(batch.column(1), ""))
         rows: list[tuple] = []
         for doc, n, z in zip(batch.column(0).to_pylist(), counts.tolist(), np.cumsum(counts).tolist()):
@@ -140,12 +145,15 @@ def token_pieces(
     end_id: int = END_ID,
     doc_id: str = "doc_id",
     text: str = "text",
+    call_bytes: int = CALL_BYTES,
+    cached: int = CACHED,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
+    """doc_id, piece, start, length, ids_crc32 of every piece. A worker's memory goes with the bytes of text that are
+    encoded together and the chunks kept; smaller ones cost time."""
     ship(docs.sparkSession)
 
     def run(batches):
-        yield from settled(cut_batches(batches, vocabulary, limit, end_id))
+        yield from settled(cut_batches(batches, vocabulary, limit, end_id, call_bytes, cached))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, _PIECES_DDL)
@@ -174,6 +182,6 @@ def pack_pieces(pieces: DataFrame, limit: int = LIMIT, columns: tuple[str, ...]
     return numbered.mapInArrow(run, f"{ddl}, sequence_id bigint, offset bigint")
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
-    """Every piece of every document with its sequence and its offset there."""
-    return pack_pieces(stored(token_pieces(docs, vocabulary, limit, end_id), "pieces"), limit)
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, end_id: int = END_ID, **memory: int) -> DataFrame:
+    """Every piece of every document with its sequence and its offset there; memory: as of token_pieces."""
+    return pack_pieces(stored(token_pieces(docs, vocabulary, limit, end_id, **memory), "pieces"), limit)

@@ -25,6 +25,8 @@ from .common import by_bytes, settled, ship, slices, tokenizer_path
 
 CALL_CHARS = 400_000
 BATCH_BYTES = 4_000_000
+#: Chunks that a word encoder keeps, some 150 bytes each.
+CACHED = 800_000
 LONG_CHARS = 40_000
 #: A space that no token of a white-space-splitting vocabulary spans.
 SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
@@ -105,7 +107,7 @@ class WordEncoder:
     #: Words that are encoded as one text.
     JOINED = 1000
 
-    def __init__(self, vocabulary: str, most: int = 800_000):
+    def __init__(self, vocabulary: str, most: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -190,11 +192,12 @@ def plain(text: str) -> bool:
     return PLAIN.fullmatch(text) is not None
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def word_encoder(vocabulary: str) -> WordEncoder:
+def word_encoder(vocabulary: str, most: int = CACHED) -> WordEncoder:
     """One encoder for each Python worker: its cache serves task after task."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = WordEncoder(vocabulary)
-    return _encoders[vocabulary]
+    if (vocabulary, most) not in _encoders:
+        _encoders.clear()
+        _encoders[vocabulary, most] = WordEncoder(vocabulary, most)
+    return _encoders[vocabulary, most]
