@@ -2,9 +2,9 @@
 
 Evidence for each row: the likelihood of its text under a smoothed byte n-gram model of each language; the language that
 its mark-up declares; the suffix of its address; and a prior of its host, smoothed towards its domain and that towards
-all rows. The models are fitted on a bounded sample of labelled texts. The reliability of declarations and suffixes and
-the priors come from all rows, by grouped sums of the text evidence: one row for each host, whatever its number of
-pages. A row's own text is taken out of its host's sums, so it does not count twice.
+all rows. Every label that occurs gets a model, fitted on a bounded sample of its distinct texts. The reliability of each
+declaration and suffix and the priors come from all rows, by grouped sums of the text evidence: one row for each value or
+host, whatever its number of pages. A row's own text is taken out of its host's sums, so it does not count twice.
 
 Log posterior of a language = TEMPER * log likelihood + log P(declared | language) + log P(suffix | language)
 + log prior(host), all in column expressions.
@@ -18,14 +18,13 @@ texts all rows are ``und``.
 from __future__ import annotations
 
 import html
-import json
 import pickle
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +32,16 @@ from .common import settled, ship, slices, stored, text_key, utf8, without
 from .toxicity import LOWER
 
 GRAM, TABLE_BITS = 4, 18
-#: Bound of the labelled sample: about so many rows of each language, and so many languages.
-ROWS_EACH, LANGUAGES = 400, 40
+#: Bound of the labelled sample: about so many distinct texts of each language.
+ROWS_EACH = 400
 #: n-grams overlap, so a text's likelihood counts for less than its length.
 TEMPER = 0.1
 #: Weight of the parent in a smoothed prior, in rows.
 HOST_ROWS, DOMAIN_ROWS = 8.0, 20.0
-#: Declarations and suffixes that get a row of their own; others share one.
-VALUES = 2000
 LEAST_KNOWN, LEAST_CONFIDENCE = 0.35, 0.5
 CALL_BYTES = 1_000_000
+#: A call's rows times its languages.
+CALL_CELLS = 1 << 20
 
 
 def grams(b: bytes) -> np.ndarray:
@@ -57,17 +56,34 @@ def grams(b: bytes) -> np.ndarray:
     return (h >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
 
 
+def pack_counts(texts: list[str]) -> bytes:
+    """How often the n-grams of texts fall on each place of the table, compressed: places are stored as differences."""
+    counts = np.zeros(1 << TABLE_BITS, np.int64)
+    for t in texts:
+        g = grams(utf8(t))
+        if len(g):
+            counts += np.bincount(g, minlength=len(counts))
+    places = np.flatnonzero(counts)
+    return zstandard.ZstdCompressor(level=3).compress(np.diff(places, prepend=0).astype("<i4").tobytes() + counts[places].astype("<i8").tobytes())
+
+
 class TextModel:
-    """Log probabilities of n-grams for each language; sums over a text are its log likelihoods."""
+    """Log probabilities of n-grams for each language; sums over a text are its log likelihoods.
+
+    Counts stay packed, so that a language takes the room of the n-grams it has; one language's table is laid out at a time."""
+
+    SMOOTH = 0.1
+
+    def __init__(self, packed: dict[str, bytes]):
+        self.names = sorted(packed)
+        self.packed = [packed[name] for name in self.names]
 
-    def __init__(self, texts: list[str | None], languages: list[str]):
-        self.names = sorted(set(languages))
-        counts = np.zeros((len(self.names), 1 << TABLE_BITS), np.float32)
-        for t, name in zip(texts, languages):
-            np.add.at(counts[self.names.index(name)], grams(utf8(t or "")), 1)
-        self.known = counts > 0
-        smooth = 0.1
-        self.logs = np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * counts.shape[1]))
+    def counts(self, k: int) -> np.ndarray:
+        body = zstandard.ZstdDecompressor().decompress(self.packed[k])
+        n = len(body) // 12
+        out = np.zeros(1 << TABLE_BITS, np.float32)
+        out[np.cumsum(np.frombuffer(body, "<i4", n))] = np.frombuffer(body, "<i8", n, 4 * n)
+        return out
 
     def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihoods (a row for each text) and the share of n-grams that the likeliest language knows."""
@@ -81,9 +97,13 @@ class TextModel:
             return out, share
         at, first = np.concatenate(own), (np.cumsum(n) - n)[some]
         for k in range(len(self.names)):
-            out[some, k] = np.add.reduceat(self.logs[k][at], first, dtype=np.float64)
-        best = out.argmax(axis=1)
-        knows = self.known[np.repeat(best, n), at]
+            c = self.counts(k)
+            logs = np.log((c + self.SMOOTH) / (c.sum() + self.SMOOTH * len(c)))
+            out[some, k] = np.add.reduceat(logs[at], first, dtype=np.float64)
+        best, knows = np.repeat(out.argmax(axis=1), n), np.zeros(len(at), bool)
+        for k in np.unique(best):
+            of = best == k
+            knows[of] = (self.counts(k) > 0)[at[of]]
         share[some] = np.add.reduceat(knows, first, dtype=np.float64) / n[some]
         letters = np.array([bool(LETTER.search(t)) for t in texts])
         return out, np.where(letters, share, 0.0)
@@ -112,14 +132,22 @@ def host_of(url: str | None) -> str:
 
 
 def labelled_model(docs: DataFrame, label: str, text: str = "text") -> TextModel:
-    """A text model fitted on a bounded sample of docs with a language in ``label``."""
+    """A text model of every language in ``label``, each fitted on a bounded sample of its distinct texts in docs. The
+    driver holds the packed counts of each language and no texts."""
+    ship(docs.sparkSession)
     known = docs.select(F.lower(F.trim(F.col(label).cast("string"))).alias("lang"), F.col(text).alias("text"))
     known = known.where("lang is not null and lang <> '' and text is not null")
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    own = stored(known.groupBy("lang").agg(F.approx_count_distinct("text").alias("texts")), "labels")
     draw = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) / 1e6
-    kept = reduce(lambda c, r: c | ((F.col("lang") == r["lang"]) & (draw < ROWS_EACH / r["count"])), top, F.lit(False))
-    rows = sorted(tuple(r) for r in known.where(kept).limit(2 * ROWS_EACH * LANGUAGES).collect())
-    return TextModel([r[1] for r in rows], [r[0] for r in rows])
+    sample = known.join(F.broadcast(own), "lang").where(draw < ROWS_EACH / F.col("texts"))
+
+    def fit(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            packed = [pack_counts(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["lang", "packed"])
+
+    fitted = sample.groupBy("lang").agg(F.collect_set("text").alias("texts")).mapInArrow(lambda batches: settled(fit(batches)), "lang string, packed binary")
+    return TextModel({r["lang"]: bytes(r["packed"]) for r in fitted.collect()})
 
 
 def text_evidence(rows: DataFrame, model: TextModel, pages: bool) -> DataFrame:
@@ -133,7 +161,8 @@ def text_evidence(rows: DataFrame, model: TextModel, pages: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         m = pickle.loads(held.value)
-        for b in slices(batches, 1, CALL_BYTES):
+        most = max(1, CALL_CELLS // max(1, len(m.names)))
+        for b in (part.slice(i, most) for part in slices(batches, 1, CALL_BYTES) for i in range(0, part.num_rows, most)):
             texts, declared, urls = (b.column(i).to_pylist() for i in range(1, 4))
             said = [declared_language(t) for t in texts] if pages else [(d or "").strip().lower() for d in declared]
             hosts = [host_of(u) if pages else u or "" for u in urls]
@@ -184,10 +213,10 @@ def fuse(seen: DataFrame, names: list[str]) -> DataFrame:
     parents = parents.select("domain", F.transform("at_domain", lambda x: HOST_ROWS * x / F.col("total")).alias("parent"))
     # One row for each host and domain.
     hosts = hosts.join(parents, "domain").select("host", "at_host", "parent")
-    score = F.col("lik")
+    joined = seen.withColumn("score", F.col("lik"))
     for name in ("declared", "suffix"):
-        score = plus(score, given(reliability(seen, name, k), name))
-    joined = seen.withColumn("score", score).join(hosts, "host")
+        joined = joined.join(reliability(seen, name, all_), name).withColumn("score", plus(F.col("score"), F.col("given"))).drop("given")
+    joined = joined.join(hosts, "host")
     # The host's sums without the row itself. What all languages' priors are divided by cancels.
     rest = F.zip_with("at_host", "own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
     joined = joined.withColumn("post", F.zip_with("score", plus(rest, F.col("parent")), lambda x, p: x + F.log(p)))
@@ -207,23 +236,11 @@ def fuse(seen: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def reliability(seen: DataFrame, name: str, k: int) -> dict[str, list[float]]:
-    """log P(value | language) of the VALUES commonest values; "*" stands for each other one."""
-    groups = seen.groupBy(name).agg(F.count("*").alias("n"), sums(k, "own").alias("own"))
-    top = groups.orderBy(F.desc("n"), name).limit(VALUES).collect()
-    total = np.array(seen.agg(sums(k, "own")).first()[0])
-    rows = {r[name]: np.array(r["own"]) for r in top}
-    rest = np.maximum(total - sum(rows.values(), np.zeros(k)), 0)
-    size = total + 0.5 * (len(rows) + 1)
-    out = {v: np.log((c + 0.5) / size).tolist() for v, c in rows.items()}
-    return out | {"*": np.log((rest + 0.5) / size).tolist()}
-
-
-def given(table: dict[str, list[float]], name: str) -> Column:
-    """The log probabilities of a row's value."""
-    known = F.from_json(F.lit(json.dumps({v: x for v, x in table.items() if v != "*"})), "map<string,array<double>>")
-    other = F.array(*map(F.lit, table["*"]))
-    return F.coalesce(F.try_element_at(known, F.col(name)), other)
+def reliability(seen: DataFrame, name: str, total: np.ndarray) -> DataFrame:
+    """log P(value | language) as ``given``: a row for each value that occurs. total: the sums of all rows."""
+    groups = stored(seen.groupBy(name).agg(sums(len(total), "own").alias("sums")), name)
+    size = F.array(*[F.lit(float(x)) for x in total + 0.5 * (groups.count() + 1)])
+    return groups.select(name, F.zip_with("sums", size, lambda c, n: F.log((c + 0.5) / n)).alias("given"))
 
 
 def identify(rows: DataFrame, model: TextModel, pages: bool) -> DataFrame:

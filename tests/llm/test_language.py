@@ -76,6 +76,33 @@ def test_stage_keeps_columns_and_readable_rows(spark):
     assert L.keep_identified(d.limit(0)).count() == 0
 
 
+def test_every_language_and_value_counts(spark):
+    """More languages than any cap: each declared one is found, and rare declarations have a reliability of their own."""
+    rnd = random.Random(9)
+    words = {f"l{i:02}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for i in range(45)}
+    made = lambda x, n: " ".join(rnd.choice(words[x]) for _ in range(n))
+    own = [(x, made(x, 30)) for i, x in enumerate(words) for _ in range(3 if i else 20)]
+    own += [("copied", "одна строка текста")] * 12000  # one text of a label that has many rows
+    d = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(own)], "doc_id long, text string, lang string")
+    model = L.labelled_model(d, "lang")
+    assert model.names == sorted([*words, "copied"])
+    said = lambda i, x: "rare" if i < 3 else f"v{i}" if i < 2100 else x
+    rows = [(i, made(x, 8 if i >= 3 else 1), said(i, x), None) for i in range(2500) for x in ["l44" if i < 3 else f"l{i % 45:02}"]]
+    got = {r.id: r for r in L.identify(spark.createDataFrame(rows, "id long, text string, declared string, url string"), model, pages=False).collect()}
+    assert all(got[i].lang == f"l{i % 45:02}" for i in range(3, 2500))
+    lik, known = model.evidence([r[1].encode() for r in rows])
+    e = np.exp(L.TEMPER * (lik - lik.max(axis=1, keepdims=True)))
+    own = np.where((known >= L.LEAST_KNOWN)[:, None], e / e.sum(axis=1, keepdims=True), 0)
+    values = [r[2] for r in rows]
+    total = own.sum(axis=0)
+    rest = total + L.HOST_ROWS * (total + L.DOMAIN_ROWS * (total + 1) / (total + 1).sum()) / (total.sum() + L.DOMAIN_ROWS)
+    for i in (0, 3, 2000, 2400):
+        of = own[[v == values[i] for v in values]].sum(axis=0)
+        s = L.TEMPER * lik[i] + np.log((of + 0.5) / (total + 0.5 * (len(set(values)) + 1))) + np.log((total + 0.5) / (total + 1)) + np.log(rest - own[i])
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        assert abs(got[i].confidence - p.max()) < 1e-9
+
+
 def test_given_pages(spark, small):
     from rill.llm.registry import op8_language_fusion
 
