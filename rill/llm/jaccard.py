@@ -13,8 +13,10 @@
 Every pair of texts that shares a band is compared exactly; so are all others of the same cluster.
 
 Defined results: a text of fewer words than n, but not none, has one n-gram of all its words; a text without words or
-null has no links and is a class of its own; repeated rows count as copies; rows with a null id get the class of an equal
-text, or a null one.
+null has no links and is a class of its own; repeated rows count as copies; one id with different texts is as many rows,
+each in the class of its text, and classes that share their smallest id share only that number. In ``near_duplicates`` rows
+with a null id are not compared: they get the class of an equal text, or a null one, and count in no links; ``keep_one``
+compares them as all others.
 """
 
 from __future__ import annotations
@@ -185,12 +187,14 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, class_id (the smallest id that links lead to), rep_id (the smallest id of the same n-gram set) and n_links
     (other rows of at least the similarity) of every row."""
-    return classified(docs, n, threshold, recall, doc_id, text).drop("text_key")
+    return classified(docs, n, threshold, recall, doc_id, text).drop("text_key", "label")
 
 
-def classified(docs: DataFrame, n: int, threshold: float, recall: float, doc_id: str, text: str) -> DataFrame:
-    """near_duplicates with a hash of each row's text. An n-gram set is a node, numbered by a hash of its key, so ids that
-    repeat with different texts stay apart."""
+def classified(docs: DataFrame, n: int, threshold: float, recall: float, doc_id: str, text: str, null_ids: bool = False) -> DataFrame:
+    """near_duplicates with a hash of each row's text and the label of its component. An n-gram set is a node, numbered by a
+    hash of its key, so ids that repeat with different texts stay apart; a label is a node, so classes do too.
+
+    null_ids: rows with a null id are compared as well; the smallest id of a class is then null where it has no other."""
     ship(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
@@ -199,14 +203,14 @@ def classified(docs: DataFrame, n: int, threshold: float, recall: float, doc_id:
         yield from settled(sign_batches(batches, n, bands, rows))
 
     signed = stored(given.mapInArrow(sign, _SIGNED_DDL), "signed")
-    with_words = signed.where("set_key is not null and doc_id is not null")
+    with_words = signed.where("set_key is not null" if null_ids else "set_key is not null and doc_id is not null")
     reps = with_words.groupBy("set_key").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("first"),
+        F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key")).alias("first"),
         F.count("*").alias("copies"),
         F.first("grams").alias("grams"),
         F.first("bands").alias("bands"),
     )
-    reps = reps.select("set_key", F.xxhash64("set_key").alias("node"), "first.*", "copies", "grams", "bands")
+    reps = reps.select("set_key", F.xxhash64("set_key").alias("node"), "first.doc_id", "first.text_key", "copies", "grams", "bands")
     reps = stored(reps.withColumnRenamed("doc_id", "rep"), "reps")
     linked, forest = verified(given, reps, n, threshold)
     labels = components(forest)
@@ -215,9 +219,10 @@ def classified(docs: DataFrame, n: int, threshold: float, recall: float, doc_id:
     known = (
         reps.select("set_key", "node", "rep", "copies")
         .join(linked, "node", "left")
-        .join(labels.join(classes, "label").select("node", "class_id"), "node", "left")
+        .join(labels.join(classes, "label").select("node", "label", "class_id"), "node", "left")
         .select(
             "set_key",
+            F.coalesce("label", "node").alias("label"),
             "rep",
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
             F.coalesce("class_id", "rep").alias("class_id"),
@@ -226,6 +231,7 @@ def classified(docs: DataFrame, n: int, threshold: float, recall: float, doc_id:
     return signed.select("doc_id", "text_key", "set_key").join(known, "set_key", "left").select(
         "doc_id",
         "text_key",
+        "label",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("rep", "doc_id").alias("rep_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -251,10 +257,12 @@ def verified(given: DataFrame, reps: DataFrame, n: int, threshold: float) -> tup
     # The first row of each set, whose text stands for it.
     wanted = units.select(F.col("rep").alias("doc_id"), "text_key")
     maybe = flagged(given, wanted, ["doc_id", "text_key"], "maybe").where("maybe").drop("maybe")
-    texts = maybe.join(wanted, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    first = units.select("node", "rep", F.col("text_key").alias("own_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("own_key"))
+    texts = maybe.join(first, same).groupBy("node").agg(F.first("text").alias("text"))
     # Block i meets every block j: in unit (min, max).
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = units.join(texts.withColumnRenamed("doc_id", "rep"), ["rep", "text_key"]).withColumn("other", other)
+    paired = units.join(texts, "node").withColumn("other", other)
     low, high = F.least("block", "other"), F.greatest("block", "other")
     rows = paired.select(
         F.concat_ws(",", "label", low, high).alias("unit"),
@@ -278,19 +286,20 @@ def verified(given: DataFrame, reps: DataFrame, n: int, threshold: float) -> tup
 def keep_one(
     docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """docs with one row of each near-duplicate class: one whose id is the class's (of rows with that id and equal n-gram
-    sets, one with the text that comes first); rows with a null id or without words stay."""
-    found = classified(docs, n, threshold, recall, doc_id, text)
-    known = found.where("doc_id is not null and (n_links > 0 or class_id <> doc_id)")
-    chosen = known.where("doc_id = class_id").groupBy("class_id").agg(F.min("text_key").alias("kept"), F.count("*").alias("rows"))
-    chosen = stored(chosen, "chosen")
-    gone = known.join(chosen, "class_id").where("doc_id <> class_id or text_key <> kept")
-    rest = without(docs, gone.select(F.col("doc_id").alias("id"), "text_key").withColumnRenamed("text_key", "key"), doc_id, text)
-    twice = chosen.where("rows > 1").select(F.col("class_id").alias("_id"), F.col("kept").alias("_key"))
+    """docs with one row of each near-duplicate class: the one with the smallest id, null being the last (of rows with that
+    id, one with the text whose key comes first); rows without words stay."""
+    found = classified(docs, n, threshold, recall, doc_id, text, null_ids=True).where("n_links > 0")
+    # A class is a component, whatever ids it shares with others.
+    texts = stored(found.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("rows")), "texts")
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "rows"))
+    chosen = stored(texts.groupBy("label").agg(first.alias("kept")).select("label", "kept.id", "kept.key", F.col("kept.rows").alias("copies")), "chosen")
+    gone = texts.join(chosen, "label").where(~F.col("doc_id").eqNullSafe(F.col("id")) | (F.col("text_key") != F.col("key")))
+    rest = without(docs, gone.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")), doc_id, text)
+    twice = chosen.where("copies > 1").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
     if not twice.limit(1).count():
         return rest
     # Rows repeated with id and text: one of each.
-    same = (F.col(doc_id).cast("long") == F.col("_id")) & (text_key(F.col(text)) == F.col("_key"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (text_key(F.col(text)) == F.col("_key"))
     once = rest.join(twice, same, "left_semi").dropDuplicates([doc_id, text])
     return rest.join(twice, same, "left_anti").unionByName(once)
 

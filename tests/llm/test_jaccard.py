@@ -48,6 +48,17 @@ def test_repeated_ids_with_different_texts(spark):
     assert sorted(tuple(r) for r in J.keep_one(df).collect()) == [(3, d), (7, a), (12, "x y z")]
 
 
+def test_keep_one_of_each_component(spark):
+    """Two classes with one smallest id, and rows without an id: alone, with each other and with others."""
+    a, b, c, d = ("a b c d e f g h", "n o p q r s t u v w x y z 1 2", "k1 k2 k3 k4 k5 k6", " ".join(f"q{i}" for i in range(30)))
+    rows = [(7, a), (9, a), (7, b), (12, b + " 3"), (None, c), (None, c), (None, c.upper()), (None, d), (None, d + " e"), (20, d + " f"), (None, "alone"), (None, None), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in J.keep_one(df).collect()]
+    low = [(i, None if t is None else t.lower()) for i, t in kept]
+    assert sorted(low, key=str) == sorted([(7, a), (7, b), (None, c), (20, d + " f"), (None, "alone"), (None, None), (None, None), (None, "")], key=str)
+    assert set(kept) <= set(rows)
+
+
 def test_keep_one_keeps_columns(spark):
     docs = made(2)
     df = spark.createDataFrame([(*x, "en") for x in docs], "doc_id long, text string, lang string")
