@@ -14,7 +14,8 @@ Benchmarks are sent to executors in blocks of at most ``BLOCK_BYTES`` of text, s
 each block has its own index over its own terms, and results of blocks are merged by document row.
 
 Defined results: a null or empty text has no words and no hits; a null item text has no windows; items with the same id
-count as one; repeated documents give repeated rows; an empty benchmark leaves every document clean.
+count as one, and so do all items without an id: their windows hit as any others, they count as one more item, null in
+lists of ids and left out of the digest of ids; repeated documents give repeated rows; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -58,15 +59,15 @@ _MATCH_DDL = (
 class Windows:
     """A block of a benchmark: its terms by number, and its windows grouped by their length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.terms: dict[bytes, int] = {}
-        rows: dict[int, dict[tuple, set[str]]] = {}
+        rows: dict[int, dict[tuple, set[str | None]]] = {}
         for item, text in items:
             codes = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
             n = min(window, len(codes))
             for i in range(len(codes) - n + 1 if n else 0):
                 rows.setdefault(n, {}).setdefault(tuple(codes[i : i + n]), set()).add(item)
-        self.names = sorted({i for r in rows.values() for s in r.values() for i in s})
+        self.names = sorted({i for r in rows.values() for s in r.values() for i in s}, key=lambda x: (x is None, x or ""))
         number = {x: i for i, x in enumerate(self.names)}
         #: length -> (windows as term numbers, the items that hold each)
         self.groups = {
@@ -202,7 +203,7 @@ def search_segments(
                     doc = np.searchsorted(starts, at, side="right") - 1
                     for p in np.unique(doc * np.int64(len(windows)) + w).tolist():
                         near.setdefault(p // len(windows), set()).update(holders[p % len(windows)])
-            name = lambda s: sorted(block.names[i] for i in s or ())
+            name = lambda s: [block.names[i] for i in sorted(s or ())]
             rows = range(len(ids))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -248,7 +249,7 @@ def find_contamination(
     n_blocks = max(1, -(-int(size) // block_bytes))
     found = []
     for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).where("id is not null").collect()
+        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).collect()
         block = Windows([(r.id, r.text) for r in rows], window)
         gap = window + 2 * (slop or 0) + 1
         held = spark.sparkContext.broadcast(pickle.dumps(block))
@@ -312,7 +313,7 @@ def keep_clean(
     return without(docs, gone, doc_id, text)
 
 
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> list[tuple]:
+def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int | None, str | None]], window: int = 10) -> list[tuple]:
     """The contract's rows by comparing every window with every position."""
     out = []
     for doc, text in docs:
@@ -325,7 +326,7 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
                 for j in range(len(w) - n + 1):
                     if w[j : j + n] == v[i : i + n]:
                         hit.update(range(j, j + n))
-                        names.add(str(item))
-        sha = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+                        names.add(None if item is None else str(item))
+        sha = hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(names), sha, bool(hit)))
     return out

@@ -47,6 +47,29 @@ def test_proximity_allows_a_word_between(spark):
     assert [(found[i].items, found[i].near_items) for i in (1, 2, 3)] == [(["5"], ["5"]), ([], ["5"]), ([], [])]
 
 
+@pytest.mark.parametrize("block_bytes", [10**7, 200])
+def test_items_without_id(spark, block_bytes):
+    """They hit, and count as one item, as in the SQL."""
+    import duckdb
+
+    from rill.llm.registry import OP1_SQL
+
+    docs, items = made(4)
+    items += [(None, " ".join(f"n{i}" for i in range(12))), (None, "only here"), (None, None)]
+    docs += [(200, f"x {items[-3][1]} y"), (201, "only here"), (202, f"only here {items[-3][1]}"), (203, f"{items[1][1]} only here")]
+    docs = [(i, t) for i, (_, t) in enumerate(docs) if t is not None]  # the SQL joins on doc_id and has no words of a null text
+    d = spark.createDataFrame([(*x, "en", "clash") for x in docs], DOCS)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = D.find_contamination(d, b, window=10, block_bytes=block_bytes)
+    got = rows(D.digest(found))
+    documents, benchmark = (x.toArrow() for x in (d.select("doc_id", "text"), b))
+    con = duckdb.connect()
+    con.register("documents", documents), con.register("benchmark", benchmark)
+    assert got == sorted(D.brute_force(docs, items)) == sorted(con.sql(OP1_SQL).fetchall())
+    kept = {r.doc_id for r in D.keep_clean(d, b).collect()}
+    assert kept == {r[0] for r in got if not r[5]} and not kept & {i for i, (_, t) in enumerate(docs) if "only here" in t}
+
+
 def test_keep_clean_judges_rows(spark):
     item = " ".join(f"w{i}" for i in range(12))
     rows = [(1, "clean"), (1, item), (None, f"x {item}"), (None, None), (2, "")]
