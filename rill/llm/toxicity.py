@@ -1,18 +1,21 @@
 """Toxicity by compression distance.
 
-Two kinds of Zstandard dictionary are trained on labelled text, each once for ordinary and once for toxic text: a
-formatted one (with entropy tables) and a plain-content one. The ordinary dictionary holds windows of ordinary text.
-The toxic one holds the same and, where it costs least, the segments that toxic text has far oftener: word starts with
-a high log-likelihood ratio, each counted once for each context so that copies of a text do not count, and the commonest
-words of each start. (The ordinary dictionary has as many bytes there that match nothing, so distances are the same.)
-
-Every window of a text is compressed with both; the difference of the lengths is the window's gain. Counts of windows
-over fixed gains, the largest gains and their shares are weighed by a logistic calibration on examples that the
-dictionaries have not seen. Windows overlap and cover whole texts.
-
-Defined results: null and empty texts are one window of a space; without examples of either label all scores are the
-share of toxic examples (one half without any); repeated labels of a document are averaged, null ones and those of null
-ids left out.
+Two Zstandard dictionaries are trained, one on ordinary and one on toxic text. Both begin with what the trainer makes of
+windows of ordinary text, so that ordinary windows compress alike; the toxic one ends with what the trainer makes of toxic
+text less what is common in ordinary text (only words stay that hold a run of ``RUN`` bytes which at least ``LEAST_RATIO``
+times the share of toxic texts have), and the ordinary one with as many bytes that match nothing.
+
+A text is its words (see ``common``), each after a mark of two bytes, so that a match of six bytes tells where words begin.
+Windows of ``WINDOW`` words overlap by half, cover the whole text, and end in a tail, as the last bytes of a block are
+never matched. Every window is compressed with both dictionaries, once for each of two least match lengths; the
+difference of the two lengths is its gain. How many of a text's windows, and what share of them, reach each gain from 1 to 8 is
+calibrated to a probability by logistic regression, on texts that the dictionary at hand was not trained on: the sample
+is cut in ``FOLDS`` parts, and each is measured with a dictionary of the others. The final one is trained on all.
+
+Defined results: null, empty and wordless texts are one window without words; very long texts have as many windows as it
+takes; without examples of either label all scores are the share of toxic examples (one half without any); repeated labels of a
+document are averaged, null ones and those of null ids left out; repeated documents get a row and the same score each, and count
+once in training; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,102 +31,105 @@ import zstandard as Z
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, ship, slices, utf8, words_of
+from .common import settled, ship, slices, words_of
 
-#: Bounds of the sample of labelled rows: about so many are read.
+#: Bounds of the sample of labelled rows: about so many are read, and about so many bytes of their texts.
 TOXIC_ROWS = 2500
 ORDINARY_ROWS = 4500
-#: Share of the sample that trains dictionaries; the rest calibrates.
-TRAIN_SHARE = 0.6
-WINDOW = 64
-STEP = 16
-BASE_BYTES = 32 * 1024
-#: Word starts: lengths, and the least count, log-likelihood ratio and their product.
-START, LEAST_COUNT, LEAST_RATIO, LEAST_GAIN = range(4, 13), 8, np.log(8), 25
-FAMILY_WORDS = 60
+SAMPLE_BYTES = 32_000_000
+FOLDS = 3
+#: Words of a window, and from one window to the next.
+WINDOW, STEP = 6, 3
+MARK, TAIL = b"  ", b"\n" * 9
+LEAST_MATCHES = 5, 6
+GAINS = range(1, 9)
+#: Trained bytes of ordinary text, and of either class's own end (with the entropy tables in front of the latter).
+BASE_BYTES, OWN_BYTES, TABLE_BYTES = 32 * 1024, 2048, 256
+#: Runs of bytes that set toxic words apart: length, texts that have one, how much oftener than ordinary texts.
+RUN, LEAST_COUNT, LEAST_RATIO = 7, 8, 8
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 CALL_BYTES = 1_000_000
 
 
-def word_counts(texts: list[bytes]) -> tuple[Counter, int]:
-    """How often each word occurs in different contexts (the words before and after), and all together."""
-    number: dict[bytes, int] = {b"": 0}
-    codes = [np.zeros(1, np.int64)]
-    for t in texts:
-        codes += [np.array([number.setdefault(w, len(number)) for w in t], np.int64), np.zeros(1, np.int64)]
-    c = np.concatenate(codes)
-    if len(c) < 3:
-        return Counter(), 0
-    key = (c[:-2] * 0x9E3779B1 + c[1:-1]) * 0x85EBCA77 + c[2:]
-    _, first = np.unique(key, return_index=True)
-    times = np.bincount(c[1:-1][first], minlength=len(number))
-    words = list(number)
-    return Counter({words[i]: int(n) for i, n in enumerate(times) if n and i}), int(times[1:].sum())
-
-
-def prefix_counts(words: Counter, wanted: set[bytes] | None = None) -> Counter:
-    out: Counter = Counter()
-    for w, n in words.items():
-        for p in [w[:k] for k in START if k <= len(w)] + [w + b" "]:
-            if wanted is None or p in wanted:
-                out[p] += n
-    return out
-
-
-def toxic_segments(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """The distinctive segments, the most valuable last: common words of each start, then the starts."""
-    tw, nt = word_counts(toxic)
-    ow, no = word_counts(ordinary)
-    if not nt or not no:
-        return []
-    tc = prefix_counts(tw)
-    candidates = {p for p, n in tc.items() if n >= LEAST_COUNT}
-    oc = prefix_counts(ow, candidates)
-    gain = {}
-    for p in candidates:
-        ratio = np.log(tc[p] / nt) - np.log((oc[p] + 0.5) / no)
-        if ratio > LEAST_RATIO and tc[p] * ratio > LEAST_GAIN:
-            gain[p] = tc[p] * ratio
-    starts: list[bytes] = []
-    for p in sorted(gain, key=lambda p: (-gain[p], -len(p), p)):
-        if not any(p.startswith(q) or q.startswith(p) for q in starts):
-            starts.append(p)
-    longest = [max((q for q in candidates if q.startswith(p) and tc[q] >= 0.95 * tc[p]), key=lambda q: (len(q), q)) for p in starts]
-    family = []
-    for p in longest:
-        own = sorted(((n, w) for w, n in tw.items() if w.startswith(p) and n >= 3), reverse=True)[:FAMILY_WORDS]
-        family += [b" " + w + b" " for _, w in own if w + b" " != p]
-    return family[::-1] + [b" " + p for p in longest[::-1]]
-
-
-def lowered(text: str | None) -> bytes:
-    return utf8(text or "").translate(LOWER) or b" "
+def windows_of(words: list[bytes]) -> list[bytes]:
+    """The windows of a text, one at least."""
+    starts = range(0, max(1, len(words) - WINDOW + STEP), STEP)
+    return [MARK + MARK.join(words[i : i + WINDOW]) + MARK + TAIL for i in starts]
+
+
+def trained(size: int, samples: list[bytes], segment: int, run: int) -> bytes:
+    """A dictionary's content by the library's trainer, or the samples themselves where they are too few to train on."""
+    try:
+        return Z.train_dictionary(size, samples, k=segment, d=run).as_bytes()[TABLE_BYTES:]
+    except Z.ZstdError:
+        return b"".join(samples)[: size - TABLE_BYTES]
+
+
+def runs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, run) of each run of RUN bytes in a word between marks; runs are numbers."""
+    chunks = [MARK + w + MARK for w in words]
+    owner = np.repeat(np.arange(len(chunks)), [len(x) for x in chunks])
+    b = np.frombuffer(b"".join(chunks), np.uint8).astype(np.int64)
+    n = max(0, len(b) - RUN + 1)
+    run = np.zeros(n, np.int64)
+    for j in range(RUN):
+        run = (run << 8) | b[j : n + j]
+    inside = owner[:n] == owner[len(owner) - n :]
+    return owner[:n][inside], run[inside]
+
+
+def distinctive(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
+    """Words of toxic texts that hold a run which far more of them have than ordinary texts."""
+    own, other = (Counter(w for t in texts for w in set(t)) for texts in (toxic, ordinary))
+    words = list(own)
+    if not words or not ordinary:
+        return set(words)
+    at, run = runs_of(words)
+    known, place = np.unique(run, return_inverse=True)
+    here = np.bincount(place, np.array([own[w] for w in words])[at], len(known))
+    there = np.zeros(len(known))
+    rest = list(other)
+    for i in range(0, len(rest), 100_000):
+        part = rest[i : i + 100_000]
+        a, r = runs_of(part)
+        k = np.minimum(np.searchsorted(known, r), max(len(known) - 1, 0))
+        same = known[k] == r if len(known) else np.zeros(0, bool)
+        there += np.bincount(k[same], np.array([other[w] for w in part])[a[same]], len(known))
+    apart = (here >= LEAST_COUNT) & (here / len(toxic) >= LEAST_RATIO * (there + 0.5) / len(ordinary))
+    return {words[i] for i in np.unique(at[apart[place]])}
+
+
+def base_of(ordinary: list[list[bytes]]) -> bytes:
+    """What the trainer makes of windows of ordinary text."""
+    windows = [w[: -len(TAIL)] for t in ordinary for w in windows_of(t)[::2]]
+    random.Random(11).shuffle(windows)
+    return trained(BASE_BYTES, [w for w in windows[:40_000] if len(w) >= 8], 32, 8)
+
+
+def toxic_end(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> bytes:
+    """What the trainer makes of toxic text less what ordinary text has as well."""
+    kept = distinctive(toxic, ordinary)
+    samples = [b"".join(MARK + w for w in t if w in kept) + MARK for t in toxic]
+    return trained(OWN_BYTES, [x for x in samples if len(x) >= 8], 16, RUN)
 
 
 class Dictionaries:
-    """The content of both kinds of dictionary for both kinds of text."""
-
-    def __init__(self, toxic: list[str], ordinary: list[str]):
-        rnd = random.Random(11)
-        segments = toxic_segments([words_of(t) for t in toxic], [words_of(t) for t in ordinary])
-        windows = [b[i : i + 96] for b in map(lowered, ordinary) for i in range(0, len(b), 96)]
-        rnd.shuffle(windows)
-        base = b"".join(windows[: BASE_BYTES // 96])
-        try:
-            formatted = Z.train_dictionary(BASE_BYTES, windows[:40_000]).as_bytes()
-        except Z.ZstdError:  # too few windows for entropy tables
-            formatted = base
-        own, other = b"".join(segments), b"".join(s[::-1] for s in segments)
-        self.pairs = [(formatted + other, formatted + own), (base + other, base + own)]
+    """The content of the ordinary and the toxic dictionary."""
+
+    def __init__(self, base: bytes, end: bytes):
+        self.ordinary, self.toxic = base + bytes(len(end)), base + end
 
     def compressors(self) -> list[tuple[Z.ZstdCompressor, Z.ZstdCompressor]]:
-        params = Z.ZstdCompressionParameters.from_level(
-            3, source_size=WINDOW, dict_size=BASE_BYTES, strategy=Z.STRATEGY_GREEDY, min_match=5, search_log=4,
-            write_content_size=False, write_checksum=False, write_dict_id=False,
-        )
-        make = lambda d, kind: Z.ZstdCompressor(dict_data=Z.ZstdCompressionDict(d, dict_type=kind), compression_params=params)
-        auto = Z.DICT_TYPE_AUTO, Z.DICT_TYPE_RAWCONTENT
-        return [(make(a, k), make(b, k)) for (a, b), k in zip(self.pairs, auto)]
+        """(ordinary, toxic) for each least match length."""
+
+        def make(content: bytes, least: int) -> Z.ZstdCompressor:
+            params = Z.ZstdCompressionParameters.from_level(
+                3, source_size=WINDOW * 12, dict_size=max(1, len(content)), strategy=Z.STRATEGY_GREEDY, min_match=least, search_log=4,
+                write_content_size=False, write_checksum=False, write_dict_id=False,
+            )
+            return Z.ZstdCompressor(dict_data=Z.ZstdCompressionDict(content, dict_type=Z.DICT_TYPE_RAWCONTENT), compression_params=params)
+
+        return [(make(self.ordinary, n), make(self.toxic, n)) for n in LEAST_MATCHES]
 
 
 def lengths(compressor: Z.ZstdCompressor, data: bytes, segments: np.ndarray) -> np.ndarray:
@@ -131,28 +137,25 @@ def lengths(compressor: Z.ZstdCompressor, data: bytes, segments: np.ndarray) ->
     return np.fromiter((len(out[i]) for i in range(len(out))), np.int64, len(out))
 
 
+def gains(windows: list[bytes], compressors: list) -> list[np.ndarray]:
+    """By least match length: how much shorter each window gets with the toxic dictionary."""
+    sizes = np.array([len(w) for w in windows], np.int64)
+    segments = np.stack([np.cumsum(sizes) - sizes, sizes], axis=1)
+    data = b"".join(windows)
+    return [lengths(ordinary, data, segments) - lengths(toxic, data, segments) for ordinary, toxic in compressors]
+
+
 def features(texts: list[str | None], compressors: list) -> np.ndarray:
-    """A row for each text: for each pair of dictionaries what its windows gain."""
-    bodies = [lowered(t) for t in texts]
-    sizes = np.array([len(b) for b in bodies], np.int64)
-    count = np.maximum(1, -(-(sizes - WINDOW + STEP) // STEP))
-    base = np.cumsum(sizes) - sizes
+    """A row for each text: what its windows gain."""
+    parts = [windows_of(words_of(t)) for t in texts]
+    count = np.array([len(p) for p in parts], np.int64)
     first = np.cumsum(count) - count
-    owner = np.repeat(np.arange(len(bodies)), count)
-    at = (np.arange(len(owner)) - first[owner]) * STEP
-    segments = np.stack([base[owner] + at, np.minimum(WINDOW, sizes[owner] - at)], axis=1)
-    data = b"".join(bodies)
     columns = [np.log(count)]
-    for ordinary, toxic in compressors:
-        x = lengths(ordinary, data, segments) - lengths(toxic, data, segments)
-        order = np.lexsort((-x, owner))
-        top = np.arange(len(owner)) - first[owner] < 4  # of x in that order
-        best = np.add.reduceat(np.where(top, x[order], 0), first) / np.minimum(count, 4)
-        columns += [np.maximum.reduceat(x, first), best, np.add.reduceat(x, first) / count]
-        over = {k: np.add.reduceat((x >= k).astype(np.int64), first) for k in range(1, 9)}
-        under = np.add.reduceat((x <= -1).astype(np.int64), first)
-        columns += [np.log1p(n) for n in over.values()] + [over[k] / count for k in (1, 2, 3)]
-        columns += [np.log1p(under), under / count]
+    for x in gains([w for p in parts for w in p], compressors):
+        columns += [np.maximum.reduceat(x, first), np.add.reduceat(x, first) / count]
+        for reached in [x >= k for k in GAINS] + [x <= -1]:
+            n = np.add.reduceat(reached.astype(np.int64), first)
+            columns += [np.log1p(n), n / count]
     return np.column_stack(columns)
 
 
@@ -190,21 +193,24 @@ class Model:
         self.constant = (float(y.mean()) if len(y) else 0.5) if len(y) < 2 or len(set(labels)) < 2 else None
         if self.constant is not None:
             return
-        order = list(range(len(y)))
-        random.Random(5).shuffle(order)
-        train, rest = [], []
-        for label in (0, 1):
-            own = [i for i in order if y[i] == label]
-            n = max(1, int(TRAIN_SHARE * len(own)))
-            train += own[:n]
-            rest += own[n:] or own
-        self.dictionaries = Dictionaries([texts[i] for i in train if y[i]], [texts[i] for i in train if not y[i]])
-        c = self.dictionaries.compressors()
-        x = np.vstack([features([texts[i] for i in rest[a : a + 100]], c) for a in range(0, len(rest), 100)])
-        yy = y[rest]
+        own: dict[int, list[str]] = {label: sorted({t for t, k in zip(texts, labels) if k == label}) for label in (0, 1)}
+        for kept in own.values():
+            random.Random(5).shuffle(kept)
+        words = {label: [words_of(t) for t in kept] for label, kept in own.items()}
+        base = base_of(words[0])
+        x, yy = [], []
+        for fold in range(FOLDS):
+            others = {k: [t for i, t in enumerate(w) if i % FOLDS != fold] or w for k, w in words.items()}
+            c = Dictionaries(base, toxic_end(others[1], others[0])).compressors()
+            rows = [(k, t) for k, kept in own.items() for t in kept[fold::FOLDS]]
+            for a in range(0, len(rows), 100):
+                x.append(features([t for _, t in rows[a : a + 100]], c))
+            yy += [k for k, _ in rows]
+        known = np.array(yy)
         share = y.mean() if share is None else share
-        weight = np.where(yy == 1, share / yy.mean(), (1 - share) / (1 - yy.mean()))
-        self.calibrated = Logistic(x, yy, weight)
+        weight = np.where(known == 1, share / known.mean(), (1 - share) / (1 - known.mean()))
+        self.calibrated = Logistic(np.vstack(x), known, weight)
+        self.dictionaries = Dictionaries(base, toxic_end(words[1], words[0]))
 
     def scores(self, texts: list[str | None], compressors: list) -> np.ndarray:
         return self.calibrated(features(texts, compressors))
@@ -213,7 +219,8 @@ class Model:
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], doc_id: str = "doc_id", text: str = "text"
 ) -> tuple[list[str], list[int], float]:
-    """Texts and labels of a bounded sample of each label's rows, and the share of label 1 among all labelled rows."""
+    """Texts and labels of a bounded sample of each label's rows, and the share of label 1 among all labelled rows. Texts of
+    more than a hundredth of SAMPLE_BYTES are not learned from."""
     one = (
         labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(doc_id).cast("long").alias("id"))
@@ -230,7 +237,12 @@ def labelled_sample(
     picked = one.where(kept).limit(2 * sum(most.values()))
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     # picked has 2 * sum(most) rows at most, of two numbers each.
-    rows = own.join(F.broadcast(picked), "id").select("id", "text", "y").limit(4 * sum(most.values())).toArrow()
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    known = own.where(size <= SAMPLE_BYTES // 100).join(F.broadcast(picked), "id").select("id", "text", "y")
+    total_bytes = known.agg(F.sum(size)).first()[0] or 0
+    if total_bytes > SAMPLE_BYTES:
+        known = known.where(F.pmod(F.xxhash64("id", F.lit(19)), F.lit(1_000_000)) / 1e6 < SAMPLE_BYTES / total_bytes)
+    rows = known.limit(4 * sum(most.values())).toArrow()
     rows = sorted(zip(rows["id"].to_pylist(), rows["text"].to_pylist(), rows["y"].to_pylist()), key=lambda r: (r[0], r[1] or ""))
     return [r[1] or "" for r in rows], [r[2] for r in rows], counts.get(1, 0) / total
 

@@ -57,5 +57,46 @@ def test_features_cover_whole_texts():
 
 
 def test_copies_count_once():
-    counts, n = T.word_counts([[b"a", b"b", b"c"]] * 5 + [[b"a", b"b", b"d"]])
-    assert counts[b"b"] == 2 and n == 5
+    docs, labels = made(300)
+    texts, y = [t for _, t in docs], [y for _, y in labels]
+    one, more = T.Model(texts, y), T.Model(texts + texts[:20] * 5, y + y[:20] * 5, share=float(np.mean(y)))
+    assert one.dictionaries.toxic == more.dictionaries.toxic and one.dictionaries.ordinary == more.dictionaries.ordinary
+
+
+def test_gains_equal_one_by_one_compression():
+    """Windows, their lengths under both dictionaries and what is counted of them, against plain loops and the library."""
+    docs, labels = made(300)
+    c = T.Model([t for _, t in docs], [y for _, y in labels]).dictionaries.compressors()
+    for text in (docs[0][1], "Gruxwit, vilepop; KA lo", "", None, "one two three four five six seven"):
+        words = (text or "").lower().replace(",", " ").replace(";", " ").split()
+        windows, i = [], 0
+        while True:
+            windows.append(b"  " + b"  ".join(w.encode() for w in words[i : i + 6]) + b"  " + b"\n" * 9)
+            if i + 6 >= len(words):
+                break
+            i += 3
+        assert T.windows_of(T.words_of(text)) == windows
+        want = [np.log(len(windows))]
+        for ordinary, toxic in c:
+            gain = [len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows]
+            want += [max(gain), sum(gain) / len(gain)]
+            for n in [sum(g >= k for g in gain) for k in range(1, 9)] + [sum(g <= -1 for g in gain)]:
+                want += [np.log1p(n), n / len(gain)]
+        assert np.allclose(T.features([text], c)[0], want)
+
+
+def test_dictionaries_are_of_their_class():
+    """Words of one class alone are in its dictionary only; what both have sets nothing apart."""
+    docs, labels = made()
+    d = T.Model([t for _, t in docs], [y for _, y in labels]).dictionaries
+    assert b"gruxwit" in d.toxic and b"vilepop" in d.toxic and b"gruxwit" not in d.ordinary and len(d.toxic) == len(d.ordinary)
+    words = [T.words_of(t) for _, t in docs]
+    assert T.distinctive(words[:300], words[:300]) == set()
+
+
+def test_long_texts_repeated_rows_and_nulls(spark):
+    docs, labels = made(300)
+    long = " ".join(t for _, t in docs) * 3 + " gruxwit vilepop" * 40
+    d = spark.createDataFrame([*docs, (7, docs[7][1]), (900, long), (None, "ka lo")], "doc_id long, text string")
+    got = T.score_toxicity(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == len(docs) + 3 and len({r.score for r in got if r.doc_id == 7}) == 1 and all(0 <= r.score <= 1 for r in got)
