@@ -1,22 +1,27 @@
 """N-gram Jaccard join: MinHash bands propose, full n-gram sets decide.
 
-1. Each text becomes the set of its 64-bit word n-gram hashes, of which only the key of the set and its band hashes
+1. Each text becomes the set of its 64-bit word n-gram hashes, of which only the 128-bit key of the set and its band hashes
    leave the function. Rows per band and bands are chosen for the target recall at the threshold. Texts of equal sets
    are one class (similarity 1) with a representative and a number of copies, summed before the shuffle.
 2. Representatives shuffle on band hashes. Those that share a band form clusters (components of the stars around each
-   bucket's smallest member), so candidates take rows in proportion to the documents, never all pairs of a bucket.
-3. Each cluster is verified on full sets. A large cluster is cut into blocks, and each pair of blocks is a unit of its
-   own, so no task holds more than two blocks; within a unit all pairs are compared by products of bounded columns of the
-   membership matrix. What comes out is one row for each member: its links, counted with copies, and a tree of links.
-4. Components of those trees are the near-duplicate classes.
+   bucket's smallest member, contracted to at most one edge a member and one a pair of hubs), so candidates take rows in proportion to the documents, never all
+   pairs of a bucket.
+3. Each cluster is verified on full sets. A cluster of one block is a unit. A larger one is cut into blocks, and each pair
+   of blocks is a unit, so no task holds more than two blocks. Its members travel as differences: what a set and the cluster's
+   smallest set do not have in common, from which intersections follow exactly. Near copies differ in few n-grams, so a
+   member weighs some bytes however often it is sent, and texts are read once. Within a unit all pairs
+   are compared by products of bounded columns of the membership matrix. What comes out is one row for each member: its
+   links, counted with copies, and a tree of links.
+4. Components of those trees, contracted in the same way, are the near-duplicate classes.
 
 Every pair of texts that shares a band is compared exactly; so are all others of the same cluster.
 
 Defined results: a text of fewer words than n, but not none, has one n-gram of all its words; a text without words or
-null has no links and is a class of its own; repeated rows count as copies; one id with different texts is as many rows,
+null has no links and is a class of its own; a very long text is one set, in a block of its own if need be; repeated rows
+count as copies; pairs of exactly the threshold are links; one id with different texts is as many rows,
 each in the class of its text, and classes that share their smallest id share only that number. In ``near_duplicates`` rows
 with a null id are not compared: they get the class of an equal text, or a null one, and count in no links; ``keep_one``
-compares them as all others.
+compares them as all others. An empty table gives an empty table; other columns of any names are left alone.
 """
 
 from __future__ import annotations
@@ -30,18 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import flagged, settled, ship, shingle_hashes, slices, stored, text_key, without, word_codes, words_of
-from .graph import components
+from .graph import components, contracted
 
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 256
 #: A block of a cluster: members, and n-grams together.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 BLOCK_GRAMS = 1 << 19
 SEED = 7
 CALL_BYTES = 1_000_000
 
+_FOUND_DDL = "node binary, links bigint, root binary"
 _SIGNED_DDL = "doc_id bigint, text_key bigint, set_key binary, grams int, bands array<bigint>"
 
 
@@ -107,32 +113,49 @@ def sign_batches(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: in
         )
 
 
-def similar(sets: list[np.ndarray], threshold: float, split: int | None = None) -> np.ndarray:
-    """Which sets have at least the Jaccard similarity, as a boolean matrix without the diagonal.
-
-    split: only pairs of one before it and one from it on."""
+def shared(owner: np.ndarray, column: np.ndarray, n: int, split: int | None) -> np.ndarray:
+    """How many columns each two members have in common, from (owner, column) entries in the order of columns; with a split
+    only members before it (rows) with members from it on (columns)."""
+    rows = n if split is None else split
+    common = np.zeros((rows, rows if split is None else n - split), np.float64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, z = np.searchsorted(column, (lo, lo + 4096))
+        m = np.zeros((n, min(4096, int(column[-1]) + 1 - lo)), np.float32)
+        m[owner[a:z], column[a:z] - lo] = 1
+        common += m @ m.T if split is None else m[:split] @ m[split:].T
+    return common
+
+
+def similar(
+    sets: list[np.ndarray], threshold: float, split: int | None = None, sizes: np.ndarray | None = None, base: int = 0
+) -> np.ndarray:
+    """Which sets have at least the Jaccard similarity, as a boolean matrix without the diagonal; with a split only pairs of one before it and one
+    from it on.
+
+    With sizes, ``sets`` are differences: what either a set of that size or a base set of ``base`` has alone. Of
+    |d| elements in a difference, lost = (|d| + base - size) / 2 are the base's. Two sets have in common
+    base - lost - lost' and what both differences hold."""
     n = len(sets)
-    size = np.array([len(s) for s in sets], np.float64)
-    all_, owner = np.concatenate(sets), np.repeat(np.arange(n), size.astype(np.int64))
+    alone = np.array([len(s) for s in sets], np.float64)
+    size = alone if sizes is None else np.asarray(sizes, np.float64)
+    lost = (alone + base - size) / 2
+    all_, owner = np.concatenate(sets), np.repeat(np.arange(n), alone.astype(np.int64))
     order = np.argsort(all_, kind="stable")
     all_, owner = all_[order], owner[order]
-    first = np.concatenate(([True], all_[1:] != all_[:-1]))
-    column = np.cumsum(first) - 1
-    shared = np.bincount(column)[column] > 1
-    owner, column = owner[shared], column[shared]
-    common = np.zeros((n, n), np.float64)
+    column = np.cumsum(np.concatenate(([True], all_[1:] != all_[:-1]))[: len(all_)]) - 1
+    often = np.bincount(column)[column] > 1 if len(column) else np.zeros(0, bool)
+    owner, column = owner[often], column[often]
     if len(column):
         column = np.cumsum(np.concatenate(([0], np.diff(column) != 0)))
-        for lo in range(0, column[-1] + 1, 4096):
-            a, z = np.searchsorted(column, (lo, lo + 4096))
-            m = np.zeros((n, min(4096, column[-1] + 1 - lo)), np.float32)
-            m[owner[a:z], column[a:z] - lo] = 1
-            common += m @ m.T
-    near = common * (1 + threshold) >= threshold * (size[:, None] + size[None, :]) - 1e-6
-    np.fill_diagonal(near, False)
+    common = shared(owner, column, n, split)
+    near = np.zeros((n, n), bool)
+    left, right = (slice(None), slice(None)) if split is None else (slice(split), slice(split, None))
+    common += base - lost[left, None] - lost[None, right]
+    close = common * (1 + threshold) >= threshold * (size[left, None] + size[None, right]) - 1e-6
+    near[left, right] = close
     if split is not None:
-        near[:split, :split] = False
-        near[split:, split:] = False
+        near[right, left] = close.T
+    np.fill_diagonal(near, False)
     return near
 
 
@@ -147,34 +170,64 @@ def roots(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def verify_batches(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by unit; a unit's rows are gathered, compared and let go."""
-    unit, held = None, []
-
-    def result(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[1], r[2]))  # by block, then id
-        ids = np.array([r[2] for r in rows], np.int64)
-        copies = np.array([r[3] for r in rows], np.int64)
-        blocks = [r[1] for r in rows]
-        sets = [gram_set(r[4], n) for r in rows]
-        pair = rows[0][5]
-        split = blocks.index(blocks[-1]) if pair and blocks[0] != blocks[-1] else None
-        near = similar(sets, threshold, split)
-        if pair and split is None:  # one of the two blocks is empty
-            near[:] = False
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(near @ copies), pa.array(roots(near, ids))], names=["node", "links", "root"]
-        )
+def compared(rows: list[tuple], sets: list[np.ndarray], threshold: float, split: int | None, sizes=None, base: int = 0) -> pa.RecordBatch:
+    """node, links and root of a unit's rows (unit, block, node, copies, …), which are in the order of blocks and nodes."""
+    nodes = [r[2] for r in rows]
+    rank = np.empty(len(nodes), np.int64)
+    rank[sorted(range(len(nodes)), key=nodes.__getitem__)] = np.arange(len(nodes))
+    near = similar(sets, threshold, split, sizes, base)
+    by_rank = np.argsort(rank)
+    root = [nodes[by_rank[i]] for i in roots(near, rank)]
+    links = near @ np.array([r[3] for r in rows], np.int64)
+    columns = [pa.array(nodes, pa.binary()), pa.array(links, pa.int64()), pa.array(root, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "links", "root"])
+
 
+def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows come sorted by their first column; those of one value together."""
+    held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if row[0] != unit and held:
-                yield result(held)
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[0] != held[0][0]:
+                yield held
                 held = []
-            unit = row[0]
             held.append(row)
     if held:
-        yield result(held)
+        yield held
+
+
+def verify_texts(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Clusters of one block: (unit, block, node, copies, text)."""
+    for rows in units_of(batches):
+        yield compared(rows, [gram_set(r[4], n) for r in rows], threshold, None)
+
+
+def difference_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of large clusters, (block key, node or null, text), the base's text first and without a node -> node and its
+    difference, with the base's size. One set is held besides the base."""
+    key, base = None, None
+    for batch in slices(batches, 2, CALL_BYTES):
+        out: list[tuple] = []
+        for own, node, text in zip(*(c.to_pylist() for c in batch.columns)):
+            grams = gram_set(text, n)
+            if own != key:
+                key, base = own, grams
+            if node is not None:
+                out.append((node, len(base), np.setxor1d(grams, base, assume_unique=True).astype("<u8").tobytes()))
+        nodes, sizes, bodies = zip(*out) if out else ((), (), ())
+        columns = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bodies, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "base", "body"])
+
+
+def verify_differences(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks: (unit, block, node, copies, grams, base, difference, whether the blocks are two)."""
+    for rows in units_of(batches):
+        rows.sort(key=lambda r: (r[1], r[2]))
+        split = next((i for i, r in enumerate(rows) if r[1] != rows[0][1]), None)
+        if rows[0][7] and split is None:  # one of the two blocks is empty
+            continue
+        sets = [np.frombuffer(r[6], "<u8") for r in rows]
+        yield compared(rows, sets, threshold, split, np.array([r[4] for r in rows]), rows[0][5])
 
 
 def near_duplicates(
@@ -191,8 +244,7 @@ def near_duplicates(
 
 
 def classified(docs: DataFrame, n: int, threshold: float, recall: float, doc_id: str, text: str, null_ids: bool = False) -> DataFrame:
-    """near_duplicates with a hash of each row's text and the label of its component. An n-gram set is a node, numbered by a
-    hash of its key, so ids that repeat with different texts stay apart; a label is a node, so classes do too.
+    """near_duplicates with a hash of each row's text and the label of its component. An n-gram set is a node, named by its key, so ids that repeat with different texts stay apart; a label is a node, so classes do too.
 
     null_ids: rows with a null id are compared as well; the smallest id of a class is then null where it has no other."""
     ship(docs.sparkSession)
@@ -210,18 +262,18 @@ def classified(docs: DataFrame, n: int, threshold: float, recall: float, doc_id:
         F.first("grams").alias("grams"),
         F.first("bands").alias("bands"),
     )
-    reps = reps.select("set_key", F.xxhash64("set_key").alias("node"), "first.doc_id", "first.text_key", "copies", "grams", "bands")
-    reps = stored(reps.withColumnRenamed("doc_id", "rep"), "reps")
+    reps = reps.select(F.col("set_key").alias("node"), F.col("first.doc_id").alias("rep"), "first.text_key", "copies", "grams", "bands")
+    reps = stored(reps, "reps")
     linked, forest = verified(given, reps, n, threshold)
     labels = components(forest)
     ids = labels.join(reps.select("node", "rep"), "node")
     classes = ids.groupBy("label").agg(F.min("rep").alias("class_id"))
     known = (
-        reps.select("set_key", "node", "rep", "copies")
+        reps.select("node", "rep", "copies")
         .join(linked, "node", "left")
         .join(labels.join(classes, "label").select("node", "label", "class_id"), "node", "left")
         .select(
-            "set_key",
+            F.col("node").alias("set_key"),
             F.coalesce("label", "node").alias("label"),
             "rep",
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
@@ -242,45 +294,64 @@ def verified(given: DataFrame, reps: DataFrame, n: int, threshold: float) -> tup
     """(node, links) of the sets with candidates, and a forest of links (a, b)."""
     entries = reps.select("node", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    stars = stored(
-        entries.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(),
-        "stars",
-    )
-    clusters = components(stars)
+    hubs = entries.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    clusters = components(stored(contracted(stored(hubs.distinct(), "hubs")), "stars"))
     member = clusters.join(reps.select("node", "rep", "text_key", "copies", "grams"), "node")
     sizes = member.groupBy("label").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("grams").cast("long")) / BLOCK_GRAMS)).cast("int").alias("blocks")
+        F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("grams").cast("long")) / BLOCK_GRAMS)).cast("int").alias("blocks"),
+        F.min(F.struct("grams", "node")).getField("node").alias("base"),
     )
+    # Few rows beside the members, and only of members that have candidates; a large cluster's row meets all its members, so
+    # that adaptive execution splits its side.
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    units = member.join(sizes, "label").withColumn("block", block)
-    units = stored(units.select("node", "rep", "text_key", "copies", "label", "block", "blocks"), "units")
+    units = stored(member.join(sizes, "label").withColumn("block", block), "units")
     # The first row of each set, whose text stands for it.
     wanted = units.select(F.col("rep").alias("doc_id"), "text_key")
     maybe = flagged(given, wanted, ["doc_id", "text_key"], "maybe").where("maybe").drop("maybe")
     first = units.select("node", "rep", F.col("text_key").alias("own_key"))
     same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("own_key"))
     texts = maybe.join(first, same).groupBy("node").agg(F.first("text").alias("text"))
-    # Block i meets every block j: in unit (min, max).
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = units.join(texts, "node").withColumn("other", other)
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    rows = paired.select(
-        F.concat_ws(",", "label", low, high).alias("unit"),
-        "block",
-        "node",
-        "copies",
-        "text",
-        (low != high).alias("pair"),
-    )
-    dealt = rows.repartition(F.col("unit")).sortWithinPartitions("unit")
+    small = units.where("blocks = 1").join(texts, "node").select(F.col("label").alias("unit"), "block", "node", "copies", "text")
+    dealt = small.repartition("unit").sortWithinPartitions("unit", "block", "node")
 
     def verify(batches):
-        yield from settled(verify_batches(batches, n, threshold))
+        yield from settled(verify_texts(batches, n, threshold))
 
-    found = stored(dealt.mapInArrow(verify, "node bigint, links bigint, root bigint"), "verified")
+    found = stored(dealt.mapInArrow(verify, _FOUND_DDL), "verified")
+    large = units.where("blocks > 1")
+    if large.limit(1).count():
+        found = found.unionByName(in_blocks(large, texts, n, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     forest = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
-    return links, stored(forest, "forest")
+    return links, stored(contracted(stored(forest, "roots")), "forest")
+
+
+def in_blocks(large: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """node, links and root of the members of clusters of several blocks, a row for each unit that a member is in."""
+    read = stored(large.select("node", "label", "block").join(texts, "node"), "texts")
+    # A base goes once to every block of its cluster: a row for BLOCK_ROWS members or BLOCK_GRAMS n-grams.
+    bases = large.where("node = base").select("node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    bases = bases.join(read.select("node", "text"), "node").select("label", "block", F.lit(None).cast("binary").alias("node"), "text")
+    key = F.concat("label", F.col("block").cast("string").cast("binary")).alias("key")
+    rows = read.unionByName(bases).select(key, "node", "text")
+    dealt = rows.repartition("key").sortWithinPartitions("key", F.col("node").asc_nulls_first())
+
+    def shorten(batches):
+        yield from settled(difference_batches(batches, n))
+
+    short = stored(dealt.mapInArrow(shorten, "node binary, base int, body binary"), "differences")
+    sent = large.drop("base").join(short, "node")
+    # Block i meets every block j: in unit (min, max).
+    paired = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    unit = F.concat("label", F.concat_ws(",", low, high).cast("binary")).alias("unit")
+    rows = paired.select(unit, "block", "node", "copies", "grams", "base", "body", (low != high).alias("pair"))
+    dealt = rows.repartition("unit").sortWithinPartitions("unit")
+
+    def verify(batches):
+        yield from settled(verify_differences(batches, threshold))
+
+    return stored(dealt.mapInArrow(verify, _FOUND_DDL), "compared")
 
 
 def keep_one(

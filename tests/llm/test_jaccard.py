@@ -97,3 +97,56 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200 + i: 200 for i in range(4)}
     assert got == want
+
+
+def test_differences_tell_the_same_links():
+    """Sets and what they differ in from a base, whole and split, against Python sets."""
+    rnd = random.Random(4)
+    base = {rnd.randrange(1 << 60) for _ in range(60)}
+    sets = []
+    for _ in range(40):
+        kept = {g for g in base if rnd.random() > rnd.choice([0.02, 0.1, 0.3])}
+        sets.append(kept | {rnd.randrange(1 << 60) for _ in range(rnd.choice([0, 1, 9]))})
+    sets += [set(sets[0]), set(base)]
+    want = np.array([[i != j and len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    whole = [np.array(sorted(s), np.uint64) for s in sets]
+    short = [np.array(sorted(s ^ base), np.uint64) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    assert want.any() and not want.all()
+    assert (J.similar(whole, 0.8) == want).all() and (J.similar(short, 0.8, None, sizes, len(base)) == want).all()
+    crossing = want.copy()
+    crossing[:15, :15] = crossing[15:, 15:] = False
+    assert (J.similar(whole, 0.8, 15) == crossing).all() and (J.similar(short, 0.8, 15, sizes, len(base)) == crossing).all()
+
+
+def test_edges_grow_with_the_members_of_a_group(spark, monkeypatch):
+    """Near copies, each with another word changed: what components gets is at most two edges a member, at every size."""
+    seen = []
+    monkeypatch.setattr(J, "BLOCK_ROWS", 256)
+    monkeypatch.setattr(J, "components", lambda edges: seen.append(edges.count()) or graph.components(edges))
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+    for n in (1500, 3000, 6000):
+        docs = [(i, " ".join([*base[: i % 100], f"x{i}", *base[i % 100 + 1 :]])) for i in range(n)]
+        got = J.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).agg({"class_id": "max", "n_links": "min"}).first()
+        assert got["max(class_id)"] == 0 and got["min(n_links)"] > n // 2
+        assert all(k <= 2 * n for k in seen[-2:]), (n, seen)
+
+
+def test_long_texts_and_other_columns(spark, monkeypatch):
+    """A text of many more n-grams than a block, its near copies, and columns named as the operator's own."""
+    monkeypatch.setattr(J, "BLOCK_GRAMS", 3000)
+    rnd = random.Random(6)
+    long = [f"w{rnd.randrange(5000)}" for _ in range(20_000)]
+    docs = [(i, " ".join([*long[:i], *long])) for i in range(4)] + [(9, " ".join(long[:5000]))]
+    df = spark.createDataFrame([(*x, "n", 1, "l") for x in docs], "doc_id long, text string, node string, links int, label string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(df).collect()} == J.brute_force(docs)
+
+
+def test_components_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT_ROWS", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(130, 200 + i) for i in range(30)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(60)} | {i: 100 for i in [*range(100, 131), *range(200, 230)]}
+    same = graph.contracted(spark.createDataFrame([(5, 1), (5, 2), (6, 2), (6, 3), (7, 9)], "a long, b long"))
+    assert sorted(tuple(r) for r in same.collect()) == [(2, 1), (3, 2), (5, 1), (6, 2), (7, 9)]
