@@ -48,8 +48,9 @@ class Typed:
 class Scope:
     """What column references mean: the columns of one Spark frame."""
 
-    def __init__(self, frame: DataFrame):
-        self.frame = frame
+    def __init__(self, frame: DataFrame, reduced: bool = False):
+        """reduced: whether the frame's plan holds a scalar subquery; embedded: whether one was made here."""
+        self.frame, self.reduced, self.embedded = frame, reduced, False
         self.kinds = {f.name: _KINDS.get(of_spark(f.dataType), OTHER) for f in frame.schema}
 
     def ref(self, name: str) -> Typed:
@@ -59,8 +60,13 @@ class Scope:
         return Typed(column.cast("long") if kind == INT else column.cast("double") if kind == FLOAT else column, kind)
 
     def scalar(self, aggregate: Column) -> Column:
-        """One value over all rows, as a scalar subquery: nothing is gathered and filters do not cross it."""
-        return self.frame.agg(aggregate.alias("value")).scalar()
+        """One value over all rows, as a scalar subquery: nothing is gathered and filters do not cross it. A subquery copies the
+        frame's plan, so over a frame that holds one already the value is computed at once and put in as a constant."""
+        one = self.frame.agg(aggregate.alias("value"))
+        if self.reduced:
+            return F.lit(one.first()[0]).cast(one.schema["value"].dataType)
+        self.embedded = True
+        return one.scalar()
 
 
 def quoted(name: str) -> str:

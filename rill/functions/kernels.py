@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import statistics
 import types
-import warnings
 from collections.abc import Callable
 from typing import Any
 
@@ -29,6 +28,12 @@ def rowwise(function: Callable) -> Callable:
     return function
 
 
+def gathers(function: Callable) -> Callable:
+    """Marks an aggregate that may hold the values of a whole group in one place. It suits groups of bounded size only."""
+    function.__gathers__ = True
+    return function
+
+
 def is_rowwise(function: Callable) -> bool:
     return isinstance(function, np.ufunc) or getattr(function, "__rowwise__", False)
 
@@ -342,7 +347,11 @@ def aggregate_column(function: Callable, x: Typed, returns: str | None = None) -
     found = traced(function, [x], reduced)
     if found is not None:
         return F.when(F.count(x.column) > 0, found.column), None
-    warnings.warn(f"{getattr(function, '__name__', function)} runs in Python on the list of each group's values", stacklevel=3)
+    if not getattr(function, "__gathers__", False):
+        raise TypeError(
+            f"{getattr(function, '__name__', function)} needs the values of each group in one place; mark it with gathers if every "
+            "group is small enough for that"
+        )
     kind = returns or {BOOL: "boolean", INT: "long", FLOAT: "double"}.get(x.kind, "string")
     run = F.udf(lambda v: plain_value(function(v)) if v else None, kind)
     return run(F.collect_list(x.column)), kind

@@ -22,8 +22,11 @@ from ..functions.expr import Expression, Scope, quoted
 from ..functions.kernels import aggregate_column
 from ..functions.types import PARSED, SPARK, DataType, missing_column, of_spark, parsed, reads_as
 from .column import Column, exact
+from .storage import fixed
 
 ORDINAL, GROUP = "__row", "__group"
+#: Positions that are looked up from the start on, and the longest list that is sent to all tasks.
+NEAR, SENT = 10_000, 500_000
 
 
 def session() -> SparkSession:
@@ -31,9 +34,10 @@ def session() -> SparkSession:
 
 
 class Frame:
-    def __init__(self, sdf: SparkFrame, keys: tuple[str, ...] | None = None, snapshot: tuple[str, ...] = ()):
-        """keys: of the grouping; snapshot: hidden columns that hold the keys as they were when grouped."""
-        self._sdf, self.keys, self._snapshot = sdf, keys, snapshot
+    def __init__(self, sdf: SparkFrame, keys: tuple[str, ...] | None = None, snapshot: tuple[str, ...] = (), reduced: bool = False):
+        """keys: of the grouping; snapshot: hidden columns that hold the keys as they were when grouped; reduced: whether the plan
+        holds a reduction of a whole column, which is a copy of the plan up to there."""
+        self._sdf, self.keys, self._snapshot, self._reduced = sdf, keys, snapshot, reduced
         names = self.colnames()
         if len({n.lower() for n in names}) < len(names) and sdf.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
             raise ValueError("names that differ in case only need spark.sql.caseSensitive")
@@ -124,7 +128,9 @@ class Frame:
         """One cell; runs a job."""
         if row < 0:
             raise IndexError(row)
-        found = self._numbered().where(F.col(ORDINAL) == row).select(quoted(self._named(col))).head(1)
+        name = quoted(self._named(col))
+        # Near the start partitions are read in order until the row comes; further on it is found in all at once.
+        found = self._sdf.select(name).offset(row).head(1) if row < NEAR else self._numbered().where(F.col(ORDINAL) == row).select(name).head(1)
         if not found:
             raise IndexError(row)
         return found[0][0]
@@ -144,8 +150,11 @@ class Frame:
 
     def _with(self, sdf: SparkFrame, keep_groups: bool = True) -> Frame:
         if keep_groups:
-            return Frame(sdf, self.keys, self._snapshot)
-        return Frame(sdf.drop(*self._snapshot) if self._snapshot else sdf)
+            return Frame(sdf, self.keys, self._snapshot, self._reduced)
+        return Frame(sdf.drop(*self._snapshot) if self._snapshot else sdf, reduced=self._reduced)
+
+    def _scope(self) -> Scope:
+        return Scope(self._sdf, self._reduced)
 
     def _put(self, name: str, column: SparkColumn) -> SparkFrame:
         """Replaces a column in its place or appends it."""
@@ -154,7 +163,7 @@ class Frame:
         return self._sdf.select(*[F.col(quoted(n)) for n in self._sdf.columns], column.alias(name))
 
     def set_col(self, name: str, values: Any, data_type: DataType | None = None) -> Frame:
-        """A constant, or a list of as many values as rows (runs a job to number rows)."""
+        """A constant, an expression, or a list of as many values as rows: jobs number the rows, and the list, which is the driver's, goes to them."""
         if isinstance(values, Column) or isinstance(values, (list, tuple)) or getattr(values, "ndim", 0):
             own = values if isinstance(values, Column) and data_type is None else Column.from_list(list(values), data_type)
             if len(own) != self.dims()[1]:
@@ -163,10 +172,14 @@ class Frame:
             new = "__new"
             schema = T.StructType([T.StructField(ORDINAL, T.LongType()), T.StructField(new, kind)])
             table = self._sdf.sparkSession.createDataFrame(list(enumerate(own)), schema)
+            if len(own) <= SENT:  # rows stay where they are, in their order
+                joined = self._with(self._numbered().join(F.broadcast(table), ORDINAL))
+                return self._with(joined._put(name, F.col(new)).drop(ORDINAL, new))
             joined = self._with(self._numbered().join(table, ORDINAL))
             return self._with(joined._put(name, F.col(new)).orderBy(ORDINAL).drop(ORDINAL, new))
         if isinstance(values, Expression):
-            return self._with(self._put(name, values.typed(Scope(self._sdf)).column))
+            scope = self._scope()
+            return self._after(self._put(name, values.typed(scope).column), scope, keep_groups=True)
         one = Column.from_list([values], data_type)
         kind = SPARK[one.data_type] if one.data_type else T.StringType()
         return self._with(self._put(name, F.lit(one[0]).cast(kind)))
@@ -198,7 +211,7 @@ class Frame:
             raise KeyError(new)
         sdf = self._sdf.select(*[F.col(quoted(n)).alias(new) if n == old else F.col(quoted(n)) for n in self._sdf.columns])
         keys = None if self.keys is None else tuple(new if k == old else k for k in self.keys)
-        return Frame(sdf, keys, self._snapshot)
+        return Frame(sdf, keys, self._snapshot, self._reduced)
 
     def retype_col(self, name: str, data_type: DataType) -> Frame:
         """A strict change of type by way of text: what does not read exactly as the type fails when it runs."""
@@ -215,22 +228,24 @@ class Frame:
     # Positions
 
     def _numbered(self) -> SparkFrame:
-        """Adds each row's position, from ids within partitions and the counts of earlier partitions (one small job)."""
-        tagged = self._sdf.withColumn("__id", F.monotonically_increasing_id())
-        part = F.shiftright("__id", 33)
-        counts = tagged.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each partition
+        """Adds each row's position. Rows are fixed first, in the shared folder, with ids within partitions; the counts of earlier
+        partitions, a row for each partition, are joined to them by broadcast."""
+        tagged = fixed(self._sdf.withColumn("__id", F.monotonically_increasing_id()))
+        tagged = tagged.withColumn("__part", F.shiftright("__id", 33))
+        counts = tagged.groupBy("__part").count().orderBy("__part").collect()
         before = itertools.accumulate([0, *[r["count"] for r in counts]])
-        starts = F.create_map(*[F.lit(x) for r, b in zip(counts, before) for x in (r["part"], b)]) if counts else None
-        inside = F.col("__id").bitwiseAND((1 << 33) - 1)
-        row = inside if starts is None else inside + starts[part]
-        return tagged.withColumn(ORDINAL, row.cast("long")).drop("__id")
+        starts = tagged.sparkSession.createDataFrame([(r["__part"], b) for r, b in zip(counts, before)], "__part bigint, __before bigint")
+        row = F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("__before")
+        return tagged.join(F.broadcast(starts), "__part").withColumn(ORDINAL, row.cast("long")).drop("__id", "__part", "__before")
 
     def slice(self, start: int | None = None, stop: int | None = None) -> Frame:
-        """Rows from start to before stop, clamped; clears groups."""
-        a, b = max(start or 0, 0), stop
-        rows = self._numbered().where(F.col(ORDINAL) >= a)
-        rows = rows if b is None else rows.where(F.col(ORDINAL) < max(b, 0))
-        return self._with(rows.drop(ORDINAL), keep_groups=False)
+        """Rows from start to before stop, clamped; clears groups. With a stop no more than that many rows of a partition are read."""
+        first = max(start or 0, 0)
+        if stop is not None:
+            rows = self._sdf.limit(max(stop, 0)).offset(first)
+        else:
+            rows = self._numbered().where(F.col(ORDINAL) >= first).drop(ORDINAL) if first else self._sdf
+        return self._with(rows, keep_groups=False)
 
     # Relational operations (the verbs of pipelines)
 
@@ -238,28 +253,37 @@ class Frame:
         if not names:
             raise ValueError("select needs a column")
         self.check(*names)
-        return Frame(self._sdf.select(*[quoted(n) for n in dict.fromkeys(names)]))
+        return Frame(self._sdf.select(*[quoted(n) for n in dict.fromkeys(names)]), reduced=self._reduced)
 
     def exclude(self, *names: str) -> Frame:
         rest = [n for n in self.colnames() if n not in names]
         if not rest:
             raise ValueError("a frame needs a column")
-        return Frame(self._sdf.select(*map(quoted, rest)))
+        return Frame(self._sdf.select(*map(quoted, rest)), reduced=self._reduced)
+
+    def _after(self, sdf: SparkFrame, scope: Scope, keep_groups: bool) -> Frame:
+        out = self._with(sdf, keep_groups)
+        out._reduced = self._reduced or scope.embedded
+        return out
 
     def keep(self, predicate: Any) -> Frame:
         """Rows where the predicate is present and true."""
-        return self._with(self._sdf.filter(E.as_expression(predicate).condition(Scope(self._sdf))), keep_groups=False)
+        scope = self._scope()
+        return self._after(self._sdf.filter(E.as_expression(predicate).condition(scope)), scope, keep_groups=False)
 
     def remove(self, predicate: Any) -> Frame:
         """The other rows: where it is false or missing."""
-        held = E.as_expression(predicate).typed(Scope(self._sdf)).truth()
-        return self._with(self._sdf.filter(~F.coalesce(held, F.lit(False))), keep_groups=False)
+        scope = self._scope()
+        held = E.as_expression(predicate).typed(scope).truth()
+        return self._after(self._sdf.filter(~F.coalesce(held, F.lit(False))), scope, keep_groups=False)
 
     def derive(self, **columns: Any) -> Frame:
-        """New columns, in order: later expressions see earlier ones. Groups stay."""
+        """New columns, in order: later expressions see earlier ones. Groups stay. The first reduction of a whole column stays
+        lazy; one of a frame that holds such already is computed now, so that plans do not copy plans that copy plans."""
         out = self
         for name, value in columns.items():
-            out = out._with(out._put(name, E.as_expression(value).typed(Scope(out._sdf)).column))
+            scope = out._scope()
+            out = out._after(out._put(name, E.as_expression(value).typed(scope).column), scope, keep_groups=True)
         return out
 
     def group_by(self, *names: str) -> Frame:
@@ -269,7 +293,7 @@ class Frame:
         base = self.sdf
         hidden = tuple(f"{GROUP}{i}" for i in range(len(names)))
         sdf = base.select("*", *[F.col(quoted(n)).alias(h) for n, h in zip(names, hidden)]) if names else base
-        return Frame(sdf, names, hidden)
+        return Frame(sdf, names, hidden, self._reduced)
 
     def ungroup(self) -> Frame:
         return self._with(self._sdf, keep_groups=False)
@@ -278,7 +302,7 @@ class Frame:
         """One row for each group: its keys, then each output = (column, function of the values present)."""
         if self.keys is None:
             raise ValueError("aggregate needs groups")
-        scope, columns = Scope(self._sdf), []
+        scope, columns = self._scope(), []
         for name, (source, function, *kind) in outputs.items():
             self.check(source)
             column, _ = aggregate_column(function, scope.ref(source), *kind)
@@ -293,10 +317,10 @@ class Frame:
         order = [n for n in self.keys if n in outputs or n in shown]
         names = [*order, *[n for n in outputs if n not in order]]
         if not set(outputs) & set(self.keys):
-            return Frame(out.select(*[F.col(quoted(n)) for n in names]))
+            return Frame(out.select(*[F.col(quoted(n)) for n in names]), reduced=self._reduced)
         renamed = out.toDF(*[*[f"k{i}" for i in range(len(key))], *[f"o{i}" for i in range(len(outputs))]])
         place = {k: f"k{i}" for i, k in enumerate(self.keys)} | {n: f"o{i}" for i, n in enumerate(outputs)}
-        return Frame(renamed.select(*[F.col(place[n]).alias(n) for n in names]))
+        return Frame(renamed.select(*[F.col(place[n]).alias(n) for n in names]), reduced=self._reduced)
 
     def gather_call(self, name: str, function: Callable, *columns: str, returns: str = "double", gather: bool = False) -> Frame:
         """A function of whole columns that nothing else can express. It holds them in one task, so it must be allowed
@@ -335,5 +359,3 @@ def evaluate(frame: Frame, expression: Expression):
     filler = "" if typed.kind == E.TEXT else False if typed.kind == E.BOOL else 0
     return np.array([filler if v is None else v for v in rows]), np.array([v is not None for v in rows], bool)
 
-
-

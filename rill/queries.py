@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import statistics
-import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -12,10 +11,12 @@ from pyspark.sql import functions as F
 
 from . import workload as K
 from .functions.expr import c, call
-from .functions.kernels import n_distinct, rowwise
+from .functions.kernels import gathers, n_distinct, rowwise
 from .functions.types import DataType
 from .operators.frame import Frame
+from .operators.storage import new_path
 from .plans.pipeline import Pipeline, aggregate, derive, exclude, groupBy, keep, remove, select, ungroup
+from .sources.readers import read_csv, write_csv
 from .streaming.streams import windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,7 +109,7 @@ verbs("call_logical_not", "orders", derive(n=call(np.logical_not, c("price") > 2
 
 @rowwise
 def banded(x):
-    return np.array([int(v) // 10 * 10 for v in x])
+    return (np.floor(np.asarray(x, dtype=float) / 10) * 10).astype(int)
 
 
 verbs("call_rowwise", "lineitem", derive(band=call(banded, c("l_quantity"), returns="long")) >> select(*_key, "band"), "SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity / 10) * 10 AS BIGINT) AS band FROM lineitem")
@@ -141,13 +142,11 @@ verbs("group_ungroup", "region", groupBy("r_name") >> ungroup() >> select("r_nam
 verbs("group_key_overwritten", "lineitem", groupBy("l_returnflag", "l_linestatus") >> aggregate(l_linestatus=("l_quantity", sum)), "SELECT l_returnflag, sum(l_quantity) AS l_linestatus FROM lineitem GROUP BY l_returnflag, lineitem.l_linestatus")
 
 
-@query("SELECT l_returnflag, CAST(sum(l_linenumber * l_linenumber) AS BIGINT) AS v FROM lineitem WHERE l_quantity > 40 GROUP BY l_returnflag")
+@query("SELECT l_orderkey, CAST(sum(l_linenumber * l_linenumber) AS BIGINT) AS v FROM lineitem GROUP BY l_orderkey")
 def group_udaf(spark, sf_dir):
-    """A callable that nothing native expresses, on the list of each group's values."""
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        p = keep(c("l_quantity") > 40) >> groupBy("l_returnflag") >> aggregate(v=("l_linenumber", lambda v: sum(x * x for x in v)))
-        return p.execute(Frame(source(spark, sf_dir, "lineitem"))).sdf
+    """A callable that nothing native expresses, on the list of each group's values: an order has few lines."""
+    p = groupBy("l_orderkey") >> aggregate(v=("l_linenumber", gathers(lambda v: sum(x * x for x in v))))
+    return p.execute(Frame(source(spark, sf_dir, "lineitem"))).sdf
 
 
 @query("SELECT l_returnflag AS flag, avg(l_quantity) AS q FROM lineitem GROUP BY l_returnflag")
@@ -211,12 +210,10 @@ def optimized_pipeline(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_round_trip(spark, sf_dir):
-    """Delimited text with types inferred from all of it."""
-    from .sources.readers import EXTRA, infer_types
-
-    text = source(spark, sf_dir, "nation").select(*[F.col(n).cast("string").alias(n) for n in ("n_nationkey", "n_name", "n_regionkey")])
-    f = infer_types(text.withColumn(EXTRA, F.lit(None).cast("string")), ["n_nationkey", "n_name", "n_regionkey"])
-    return f.sdf.select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
+    """A file of delimited text, written and read again, with types inferred from all of it."""
+    at = new_path(spark, "nation")
+    write_csv(Frame(source(spark, sf_dir, "nation")), at)
+    return read_csv(at).sdf.select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
 
 
 # The analysis
@@ -333,10 +330,8 @@ _Q = "(SELECT {v} FROM (SELECT {v}, row_number() OVER (ORDER BY {v}) - 1 AS r, c
     coalesce(p_size <= {_Q.format(v='p_size', t='part', w='true', q=0.05)}, false) AS small FROM part""")
 def quantile_flag(spark, sf_dir):
     d = source(spark, sf_dir, "part")
-    big = F.col("p_size") >= K.nearest_quantile(d, "p_size", 0.9, F.col("p_size") > 5)
-    dear = F.col("p_retailprice") >= K.nearest_quantile(d, "p_retailprice", 0.95)
-    low = F.col("p_size") <= K.nearest_quantile(d, "p_size", 0.05)
-    flags = {"big": big, "dear": dear, "small": low}
+    big, dear, low = K.nearest_quantiles(d, [("p_size", 0.9, F.col("p_size") > 5), ("p_retailprice", 0.95, None), ("p_size", 0.05, None)])
+    flags = {"big": F.col("p_size") >= big, "dear": F.col("p_retailprice") >= dear, "small": F.col("p_size") <= low}
     return d.select("p_partkey", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items()])
 
 

@@ -7,7 +7,11 @@ that read as each type; the driver sees that one row. Typed columns are lazy cas
 from __future__ import annotations
 
 import csv
+import io
+import itertools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame as SparkFrame
 from pyspark.sql import functions as F
@@ -35,8 +39,8 @@ def unique_names(names: list[str | None]) -> list[str]:
 def read_csv(path: str, header: bool = True, skip: int = 0, multiline: bool | None = None) -> Frame:
     """A delimited file, or a folder of such files with the same columns.
 
-    ``skip`` lines are left out at the beginning (of a single file); with ``header`` the next one has the names, without
-    one they are x_0, x_1, …. ``multiline``: whether quoted values hold line breaks, so that a file is read as a whole;
+    ``skip`` lines are left out at the beginning (of a single file); with ``header`` the next record has the names, without
+    one they are x_0, x_1, …. ``multiline``: whether quoted values hold line breaks, so that a file is read as a whole, in one task;
     None: looks whether a line has an odd number of quotes. Rows that are too short end in nulls; too long ones raise.
     """
     spark = session()
@@ -47,24 +51,50 @@ def read_csv(path: str, header: bool = True, skip: int = 0, multiline: bool | No
     if multiline is None:
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         multiline = bool(lines.where(quotes % 2 == 1).limit(1).count())
-    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": multiline, "enforceSchema": True, "nullValue": "\x00"}
-    if multiline and header and skip == 0:
-        first = spark.read.options(**options).csv(path).limit(1).collect()[0]
-        cells = [v for v in first]
+    quoting = {"quote": '"', "escape": '"', "nullValue": "\x00"}
+    whole = records(path, skip) if multiline and skip else None
+    if whole is not None:
+        cells = whole.where("number = 0").first()["cells"]
+    elif multiline and header:
+        cells = list(spark.read.options(**quoting, multiLine=True).csv(path).limit(1).collect()[0])
     else:
         cells = next(csv.reader([top[skip]]), [""])
-    names = unique_names([v if v else "None" if v is None else v for v in cells]) if header else [f"x_{i}" for i in range(len(cells))]
+    names = unique_names(["None" if v is None else v for v in cells]) if header else [f"x_{i}" for i in range(len(cells))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, EXTRA)])
-    if skip == 0:
-        raw = spark.read.options(**options, header=header).schema(schema).csv(path)
-    else:
+    if whole is not None:
+        kept = whole.where(F.col("number") >= int(header))
+        raw = kept.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate((*names, EXTRA))])
+    elif skip:
         # The first lines of a single file are the first of its first partition.
         kept = lines.withColumn("at", F.monotonically_increasing_id()).where(F.col("at") >= skip + header)
-        raw = kept.select(F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options={"quote": '"', "escape": '"', "nullValue": "\x00"}).alias("row")).select("row.*")
-        raw = raw.toDF(*names, EXTRA)
+        plain = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
+        raw = kept.select(F.from_csv("value", plain.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options=quoting).alias("row"))
+        raw = raw.select("row.*").toDF(*names, EXTRA)
+    else:
+        raw = spark.read.options(**quoting, mode="PERMISSIVE", multiLine=multiline, enforceSchema=True, header=header).schema(schema).csv(path)
     return infer_types(raw, names)
 
 
+def records(path: str, skip: int) -> SparkFrame:
+    """(number, cells) of the records of a file behind its first lines. Quoted values may hold line breaks, so a file is one task's;
+    records come one by one."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                stream = io.StringIO(text, newline="")
+                for _ in range(skip):
+                    stream.readline()
+                rows = (r for r in csv.reader(stream) if r)
+                number = 0
+                while held := list(itertools.islice(rows, 10_000)):
+                    numbers = pa.array(range(number, number + len(held)), pa.int64())
+                    yield pa.RecordBatch.from_arrays([numbers, pa.array(held, pa.list_(pa.string()))], names=["number", "cells"])
+                    number += len(held)
+
+    return session().read.text(path, wholetext=True).mapInArrow(parse, "number bigint, cells array<string>")
+
+
 def infer_types(raw: SparkFrame, names: list[str]) -> Frame:
     """Types for text columns, decided over all rows in one pass."""
     checks = [F.count_if(F.col(EXTRA).isNotNull()).alias("extra")] if EXTRA in raw.columns else []
