@@ -6,10 +6,12 @@ preceded by inserted empty turns (INSERT each); a relabelled turn may also be me
 automaton's states, from the last turn to the first, finds the least total cost; of equal choices the first of keep,
 merge, relabel, insert is taken at the earliest turn. The repaired sequence is rendered with marked roles.
 
-Conversations of at most ``MOST_TURNS`` turns are repaired whole, in order of (turn, role, text). Longer ones, whatever
-their length, are ranked by a range sort and cut into blocks of as many turns: each block gives its least cost between
-any two states (a small matrix), matrices combine in order, and each block is then repaired between its two states. Such
-a conversation has a row for each block, whose rendered parts join without a seam.
+Every conversation, in order of (turn, role, text), comes as ``n_parts`` parts of ``PART_TURNS`` turns, the last of which may be shorter: one
+row a part, so a conversation of any length is in rows of bounded size. Rendered parts join without a seam, and costs and
+counts add up, to what the repair of the whole conversation gives: the least cost and the same choices among equals.
+A conversation of several parts is ranked by a range sort; each part gives its least cost between any two states (a
+small matrix); matrices combine from the end to the cost of what follows each part; with that a part tells where it ends
+from each state, hence where the next one starts; then each is repaired by itself.
 
 Defined results: an unknown or null role is relabelled; a null text is empty; null turns come last; repeated rows are
 turns of their own; rows with a null id are one conversation; "<|" inside a text becomes "< |"; an empty table gives an
@@ -34,15 +36,15 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 ENDS = (USER, ASSISTANT)
 MERGE, INSERT, RELABEL = 1, 2, 3
-MOST_TURNS = 4096
+PART_TURNS = 4096
 FAR = 1 << 40
 
 _SCHEMA = pa.schema(
-    [("conv_id", pa.int64()), ("part", pa.int64())]
+    [("conv_id", pa.int64()), ("part", pa.int64()), ("n_parts", pa.int64())]
     + [(n, pa.int64()) for n in ("turns", "cost", "merged", "relabelled", "inserted")]
     + [("rendered", pa.string())]
 )
-_DDL = "conv_id bigint, part bigint, turns bigint, cost bigint, merged bigint, relabelled bigint, inserted bigint, rendered string"
+_DDL = "conv_id bigint, part bigint, n_parts bigint, turns bigint, cost bigint, merged bigint, relabelled bigint, inserted bigint, rendered string"
 
 
 def paths() -> list[list[tuple[int, ...] | None]]:
@@ -134,10 +136,9 @@ def role_number(role: str | None) -> int:
     return ROLES.index(name) if name in ROLES[1:] else 0
 
 
-def render(conv: int | None, part: int, roles: list, texts: list, start: int, end: int | None) -> tuple:
-    """The row of a block that starts in a state and ends in another; end None: the conversation ends here."""
-    final = WHOLE if end is None else tuple(0 if q == end else FAR for q in range(4))
-    cost, taken = plan(tuple(map(role_number, roles)), start, final)
+def render(conv: int | None, part: int, n_parts: int, roles: list, texts: list, start: int, rest: tuple[int, ...]) -> tuple:
+    """The row of a part that starts in a state; rest: the cost of what follows it, by the state in which it ends."""
+    cost, taken = (plan if n_parts == 1 else plan.__wrapped__)(tuple(map(role_number, roles)), start, rest)
     out, q, turns, merged, relabelled, inserted = [], start, 0, 0, 0, 0
 
     def turn(state: int, text: str) -> None:
@@ -155,13 +156,15 @@ def render(conv: int | None, part: int, roles: list, texts: list, start: int, en
         q = after
         turns += len(empty) + (not joins)
         merged, relabelled, inserted = merged + joins, relabelled + changed, inserted + len(empty)
-    if end is None:
+    if part == n_parts - 1:
         for e in CLOSING[q][1]:
             turn(e, "")
             q = e
             turns, inserted = turns + 1, inserted + 1
         out.append("<|end|>\n" if q != START else "")
-    return conv, part, turns, cost, merged, relabelled, inserted, "".join(out)
+    else:
+        cost -= rest[q]
+    return conv, part, n_parts, turns, cost, merged, relabelled, inserted, "".join(out)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -190,7 +193,7 @@ def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> It
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = (render(key[0], 0, [r[2] for r in own], [r[3] for r in own], START, None) for key, own in runs(batches, 1))
+    rows = (render(key[0], 0, 1, [r[2] for r in own], [r[3] for r in own], START, WHOLE) for key, own in runs(batches, 1))
     yield from in_batches(rows, _SCHEMA, 200)
 
 
@@ -201,34 +204,52 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, part), own in runs(batches, 2):
             roles = tuple(role_number(r[3]) for r in own)
             ends = [tuple(0 if q == e else FAR for q in range(4)) for e in range(4)]
-            yield conv, part, [plan(roles, s, e)[0] for s in range(4) for e in ends]
+            yield conv, part, [plan.__wrapped__(roles, s, e)[0] for s in range(4) for e in ends]
 
     yield from in_batches(rows(), schema)
 
 
-def combine(pdf):
-    """The state before and after each block of one conversation, from the blocks' matrices (pandas frames)."""
+def follow(pdf):
+    """The cost of what follows each part of one conversation, by the state in which the part ends, from the parts' matrices (pandas
+    frames)."""
     import pandas as pd
 
     pdf = pdf.sort_values("part")
     m = np.array(pdf["costs"].tolist(), np.int64).reshape(-1, 4, 4)
-    value = [np.array(WHOLE, np.int64)]
+    rest = [np.array(WHOLE, np.int64)]
     for x in m[:0:-1]:
-        value.append(np.minimum((x + value[-1]).min(axis=1), FAR))
-    states, q = [], START
-    for x, v in zip(m, reversed(value)):
-        states.append(q)
-        q = int((x[q] + v).argmin())
-    last = [-1] * len(states)
-    last[:-1] = states[1:]
-    return pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "start": states, "end": last})
+        rest.append(np.minimum((x + rest[-1]).min(axis=1), FAR))
+    return pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "n_parts": len(m), "rest": [r.tolist() for r in reversed(rest)]})
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("ends", pa.list_(pa.int32()))])
+
+    def rows():
+        for (conv, part), own in runs(batches, 2):
+            roles, rest = tuple(role_number(r[3]) for r in own), tuple(own[0][6])
+            yield conv, part, [plan.__wrapped__(roles, s, rest)[1][-1][1] for s in range(4)]
+
+    yield from in_batches(rows(), schema)
+
+
+def chain(pdf):
+    """The state in which each part of one conversation starts (pandas frames)."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("part")
+    starts, q = [], START
+    for ends in pdf["ends"]:
+        starts.append(q)
+        q = int(ends[q])
+    return pd.DataFrame({"conv_id": pdf["conv_id"], "part": pdf["part"], "start": starts})
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for (conv, part), own in runs(batches, 2):
-            start, end = own[0][5], own[0][6]
-            yield render(conv, part, [r[3] for r in own], [r[4] for r in own], start, None if end < 0 else end)
+            n_parts, rest, start = own[0][5:8]
+            yield render(conv, part, n_parts, [r[3] for r in own], [r[4] for r in own], start, tuple(rest))
 
     yield from in_batches(rows(), _SCHEMA, 20)
 
@@ -260,9 +281,9 @@ def format_chats(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    most_turns: int = MOST_TURNS,
+    part_turns: int = PART_TURNS,
 ) -> DataFrame:
-    """conv_id, part, turns, cost, merged, relabelled, inserted and rendered of every conversation."""
+    """conv_id, part, n_parts, turns, cost, merged, relabelled, inserted and rendered of every part of every conversation."""
     ship(turns.sparkSession)
     rows = turns.select(
         F.col(conv_id).cast("long").alias("conv_id"),
@@ -270,21 +291,26 @@ def format_chats(
         F.col(role).cast("string").alias("role"),
         F.col(text).cast("string").alias("text"),
     )
-    long = stored(rows.groupBy("conv_id").count().where(F.col("count") > most_turns).select(F.col("conv_id").alias("long_id")), "long")
+    long = stored(rows.groupBy("conv_id").count().where(F.col("count") > part_turns).select(F.col("conv_id").alias("long_id")), "long")
     is_long = F.col("conv_id").eqNullSafe(F.col("long_id"))
     order = ["conv_id", F.col("turn").asc_nulls_last(), "role", "text"]
     short = rows.join(long, is_long, "left_anti").repartition("conv_id").sortWithinPartitions(*order)
     out = short.mapInArrow(_whole, _DDL)
     if not long.limit(1).count():
         return out
-    blocks = stored(in_blocks(rows.join(long, is_long, "left_semi"), most_turns), "blocks")
-    dealt = blocks.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "rank")
-    matrices = dealt.mapInArrow(_matrices, "conv_id bigint, part bigint, costs array<bigint>")
-    # One row of 16 numbers for each block of a conversation.
-    states = stored(matrices.groupBy("conv_id").applyInPandas(combine, "conv_id bigint, part bigint, start int, end int"), "states")
-    known = blocks.alias("b").join(
-        states.alias("s"), F.col("b.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("b.part") == F.col("s.part"))
-    )
-    known = known.select("b.conv_id", "b.part", "b.rank", "b.role", "b.text", "s.start", "s.end")
-    dealt = known.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "rank")
-    return out.unionByName(dealt.mapInArrow(_parts, _DDL))
+    blocks = stored(in_blocks(rows.join(long, is_long, "left_semi"), part_turns), "blocks")
+    of_part = "conv_id bigint, part bigint"
+
+    def dealt(parts: DataFrame) -> DataFrame:
+        return parts.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "rank")
+
+    def known(parts: DataFrame, more: DataFrame) -> DataFrame:
+        same = F.col("b.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("b.part") == F.col("s.part"))
+        return parts.alias("b").join(more.alias("s"), same).select("b.*", *[F.col(f"s.{n}") for n in more.columns[2:]])
+
+    # One row of a few numbers for each part of a conversation.
+    matrices = dealt(blocks).mapInArrow(_matrices, f"{of_part}, costs array<bigint>")
+    rest = stored(matrices.groupBy("conv_id").applyInPandas(follow, f"{of_part}, n_parts bigint, rest array<bigint>"), "rest")
+    ends = dealt(known(blocks, rest)).mapInArrow(_ends, f"{of_part}, ends array<int>")
+    starts = stored(ends.groupBy("conv_id").applyInPandas(chain, f"{of_part}, start int"), "starts")
+    return out.unionByName(dealt(known(known(blocks, rest), starts)).mapInArrow(_parts, _DDL))
