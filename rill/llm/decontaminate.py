@@ -1,9 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by document. Every row is a segment: some whole documents (at most ``SEGMENT_BYTES`` of text,
-or one longer document) and, for each benchmark term, the ascending list of its positions in the segment. Building it
+or one longer document) and, for each word that they hold, a 64-bit code and the ascending list of its positions in the segment. Building it
 needs no shuffle and no frequent term gathers anywhere. Positions of consecutive documents are a gap apart that no
-window can bridge. The index is a stored table; a search reads it and never the texts.
+window can bridge. The index is a stored table of all words, made in one pass over the texts whatever is searched for; searches read
+it and never the texts.
 
 A search takes each benchmark window's terms from the rarest in the segment to the most frequent, starts from the
 rarest one's positions less its offset in the window, and intersects with each further list less its own offset. A
@@ -11,11 +12,13 @@ window with a term that the segment lacks costs nothing. Proximity matches come
 be off by up to ``slop`` words.
 
 Benchmarks are sent to executors in blocks of at most ``BLOCK_BYTES`` of text, so that what is broadcast is bounded;
-each block has its own index over its own terms, and results of blocks are merged by document row.
+all blocks search the one index, and results of blocks are merged by document row.
 
 Defined results: a null or empty text has no words and no hits; a null item text has no windows; items with the same id
 count as one, and so do all items without an id: their windows hit as any others, they count as one more item, null in
-lists of ids and left out of the digest of ids; repeated documents give repeated rows; an empty benchmark leaves every document clean.
+lists of ids and left out of the digest of ids; repeated documents give repeated rows; a very long document is a segment of its own,
+searched whole; windows that overlap or tie share their words, each counted once; an empty table of documents gives an empty table; an empty
+benchmark leaves every document clean. Two different words have the same code with a chance of one in 2^64.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, ship, slices, stored, text_key, without, words_of
+from .common import settled, ship, slices, stored, text_key, without, word_codes, words_of
 
 SEGMENT_BYTES = 2_000_000
 BLOCK_BYTES = 8_000_000
@@ -57,16 +60,17 @@ _MATCH_DDL = (
 
 
 class Windows:
-    """A block of a benchmark: its terms by number, and its windows grouped by their length."""
+    """A block of a benchmark: the codes of its terms, and its windows as term numbers, grouped by their length."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        self.terms: dict[bytes, int] = {}
+        terms: dict[bytes, int] = {}
         rows: dict[int, dict[tuple, set[str | None]]] = {}
         for item, text in items:
-            codes = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
+            codes = [terms.setdefault(w, len(terms)) for w in words_of(text)]
             n = min(window, len(codes))
             for i in range(len(codes) - n + 1 if n else 0):
                 rows.setdefault(n, {}).setdefault(tuple(codes[i : i + n]), set()).add(item)
+        self.terms = word_codes(list(terms))
         self.names = sorted({i for r in rows.values() for s in r.values() for i in s}, key=lambda x: (x is None, x or ""))
         number = {x: i for i, x in enumerate(self.names)}
         #: length -> (windows as term numbers, the items that hold each)
@@ -76,28 +80,35 @@ class Windows:
         }
 
 
-def pack_postings(terms: np.ndarray, positions: np.ndarray) -> bytes:
-    """Postings in the order of (term, position), as compressed differences."""
-    order = np.argsort(terms, kind="stable")
-    found, start = np.unique(terms[order], return_index=True)
+def pack_postings(codes: np.ndarray, positions: np.ndarray) -> bytes:
+    """Postings in the order of (code, position): codes, where their lists start, and positions as differences, compressed."""
+    order = np.argsort(codes, kind="stable")
+    found, start = np.unique(codes[order], return_index=True)
     p = positions[order]
     gaps = np.diff(p, prepend=0)
     gaps[start] = p[start]
     heads = np.array([len(p), len(found)], "<i8").tobytes()
-    body = heads + found.astype("<i4").tobytes() + start.astype("<i8").tobytes() + gaps.astype("<i4").tobytes()
+    body = heads + found.astype("<u8").tobytes() + start.astype("<i8").tobytes() + gaps.astype("<i4").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def unpack_postings(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack_postings(blob: bytes, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the term, position) of the lists of some terms, given by their codes, in that order."""
     body = zstandard.ZstdDecompressor().decompress(blob)
-    n, k = np.frombuffer(body, "<i8", 2)
-    found = np.frombuffer(body, "<i4", k, 16).astype(np.int64)
-    start = np.frombuffer(body, "<i8", k, 16 + 4 * k)
-    gaps = np.frombuffer(body, "<i4", n, 16 + 12 * k).astype(np.int64)
-    size = np.diff(np.append(start, n))
-    run = np.cumsum(gaps)
-    base = run[start] - gaps[start] if k else run
-    return np.repeat(found, size), run - np.repeat(base, size)
+    n, k = (int(x) for x in np.frombuffer(body, "<i8", 2))
+    found = np.frombuffer(body, "<u8", k, 16)
+    start = np.append(np.frombuffer(body, "<i8", k, 16 + 8 * k), n)
+    gaps = np.frombuffer(body, "<i4", n, 16 + 16 * k)
+    if not k:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(found, terms), k - 1)
+    number = np.flatnonzero(found[at] == terms)
+    first, size = start[at[number]], (start[1:] - start[:-1])[at[number]]
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+    run = np.cumsum(gaps[place], dtype=np.int64)
+    before = np.concatenate(([0], run[ends - 1]))[:-1] if len(ends) else ends
+    return np.repeat(number, size), run - np.repeat(before, size)
 
 
 def _starts(lengths: np.ndarray, gap: int) -> np.ndarray:
@@ -105,20 +116,14 @@ def _starts(lengths: np.ndarray, gap: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths + gap)[:-1])).astype(np.int64) if len(lengths) else lengths
 
 
-def index_segments(batches: Iterator[pa.RecordBatch], terms: dict[bytes, int], gap: int) -> Iterator[pa.RecordBatch]:
+def index_segments(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBatch]:
     """A row of the index for each run of rows (id, key, text)."""
-    get = terms.get
     for batch in slices(batches, 2, SEGMENT_BYTES):
-        lengths, codes = [], []
-        for t in batch.column(2).to_pylist():
-            found = words_of(t)
-            lengths.append(len(found))
-            codes.append(np.fromiter((get(w, -1) for w in found), np.int64, len(found)))
-        starts = _starts(np.array(lengths, np.int64), gap)
-        pos = [np.arange(s, s + n, dtype=np.int64) for s, n in zip(starts, lengths)]
-        code, at = np.concatenate(codes), np.concatenate(pos)
-        keep = code >= 0
-        columns = [[batch.column(0).to_pylist()], [batch.column(1).to_pylist()], [lengths], [pack_postings(code[keep], at[keep])]]
+        found = [words_of(t) for t in batch.column(2).to_pylist()]
+        lengths = np.array([len(f) for f in found], np.int64)
+        codes = word_codes([w for f in found for w in f])
+        at = np.arange(len(codes)) + np.repeat(_starts(lengths, gap) - (np.cumsum(lengths) - lengths), lengths)
+        columns = [[batch.column(0).to_pylist()], [batch.column(1).to_pylist()], [lengths], [pack_postings(codes, at)]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _INDEX)], schema=_INDEX)
 
 
@@ -185,7 +190,7 @@ def search_segments(
         for ids, keys, lengths, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
             sizes = np.array(lengths, np.int64)
             starts = _starts(sizes, gap)
-            segment = Segment(*unpack_postings(blob), len(block.terms))
+            segment = Segment(*unpack_postings(blob, block.terms), len(block.terms))
             spans: dict[int, list] = {}
             items: dict[int, set[int]] = {}
             near: dict[int, set[int]] = {}
@@ -218,13 +223,12 @@ def search_segments(
             )
 
 
-def build_index(docs: DataFrame, block: Windows, gap: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored positional index of docs over the terms of a block."""
+def build_index(docs: DataFrame, gap: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The stored positional index of docs over all their words."""
     ship(docs.sparkSession)
-    terms = docs.sparkSession.sparkContext.broadcast(pickle.dumps(block.terms))
 
     def build(batches):
-        yield from settled(index_segments(batches, pickle.loads(terms.value), gap))
+        yield from settled(index_segments(batches, gap))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     return stored(rows.mapInArrow(build, _INDEX_DDL), "postings")
@@ -248,16 +252,16 @@ def find_contamination(
     size = items.agg(F.sum(F.octet_length("text") + 40)).first()[0] or 0
     n_blocks = max(1, -(-int(size) // block_bytes))
     found = []
+    gap = window + 2 * (slop or 0) + 1
+    index = build_index(docs, gap, doc_id, text)
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).collect()
         block = Windows([(r.id, r.text) for r in rows], window)
-        gap = window + 2 * (slop or 0) + 1
         held = spark.sparkContext.broadcast(pickle.dumps(block))
 
-        def search(batches, held=held, gap=gap):
+        def search(batches, held=held):
             yield from settled(search_segments(batches, pickle.loads(held.value), gap, slop))
 
-        index = build_index(docs, block, gap, doc_id, text)
         found.append(index.select(*_INDEX.names).mapInArrow(search, _MATCH_DDL))
     if n_blocks == 1:
         return found[0]

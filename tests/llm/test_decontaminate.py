@@ -85,3 +85,29 @@ def test_given_tables(spark, small):
     docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
     assert rows(op1_decontamination(spark, small)) == sorted(D.brute_force(docs, items))
+
+
+def test_one_index_for_all_blocks(spark, monkeypatch):
+    """However many blocks a benchmark has, texts are cut into words once, and lists hold every word."""
+    docs, items = made(5)
+    built = []
+    build = D.build_index
+    monkeypatch.setattr(D, "build_index", lambda *a, **k: built.append(build(*a, **k)) or built[-1])
+    d = spark.createDataFrame([(*x, "en", "clash") for x in docs], DOCS)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = D.digest(D.find_contamination(d, b, window=10, block_bytes=100))
+    assert rows(found) == sorted(D.brute_force(docs, items)) and len(built) == 1
+    words = sorted(w for _, t in docs for w in D.words_of(t))
+    codes = {w: D.word_codes([w]) for w in {*words, b"absent"}}
+    counts = {w: sum(len(D.unpack_postings(r.postings, c)[1]) for r in built[0].collect()) for w, c in codes.items()}
+    assert counts == {w: words.count(w) for w in codes}
+
+
+def test_very_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(D, "SEGMENT_BYTES", 300)
+    docs, items = made(6)
+    long = " ".join(t or "" for _, t in docs * 3)
+    docs = [*docs, (500, long), (501, f"{long} {items[2][1]}")]
+    d = spark.createDataFrame([(*x, "en", "") for x in docs], DOCS)
+    found = D.digest(D.find_contamination(d, spark.createDataFrame(items, "item_id long, text string")))
+    assert rows(found) == sorted(D.brute_force(docs, items))
