@@ -4,10 +4,13 @@ Index: each vector, less a centre fitted on a bounded sample, is scaled to lengt
 matrix and kept as its signs in packed bits, with its length, the inner product of code and rotated vector (the
 correction scalar) and its inner product with the centre. Every row is indexed.
 
-Search: queries go in blocks of at most ``BLOCK`` against all rows. An inner product is estimated from the bits and the
-scalars; its error is below length * |query| * sqrt((1 - f * f) / (f * f)) * EPSILON / sqrt(dimensions - 1) but for
-chance. Only rows whose upper bound reaches the query's k-th best so far (at first: the k-th best lower bound) are
-reranked with the original vectors, in double precision and in the order of components, so equal vectors tie exactly.
+Search: queries go in blocks of at most ``BLOCK`` against all rows. A rotated query is rounded to ``PLANES`` bits a component, so its
+inner product with a code is a weighted sum of population counts of packed words, one for each bit plane. With the
+correction scalars that estimates the inner product; its error is below
+length * |query| * sqrt((1 - f * f) / (f * f)) * EPSILON / sqrt(dimensions - 1) but for chance, plus what rounding the query can
+change at most. Only rows whose upper bound reaches the query's k-th best so far (at first: the k-th best lower bound) are
+reranked with the original vectors, in double precision and in the order of components, so equal vectors tie exactly. Vectors of
+other rows are not touched.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have not the commonest dimension
 take no part, nor rows with a null id; every row of a repeated id is a candidate, the first (by its bytes) is the query;
@@ -29,7 +32,9 @@ from .common import new_path, ship, stored
 
 #: Rows that the centre is fitted on, about.
 SAMPLE = 10_000
-BLOCK = 4096
+BLOCK = 16384
+#: Bits of a component of a rotated query.
+PLANES = 6
 EPSILON = 3.5
 SEED = 20_240_601
 #: Queries whose estimates are held at a time.
@@ -73,33 +78,57 @@ def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.cumsum(x * q, axis=1)[:, -1]
 
 
+def packed_words(code: np.ndarray) -> np.ndarray:
+    """Rows of packed bits as 64-bit words."""
+    out = np.zeros((len(code), -(-code.shape[1] // 8) * 8), np.uint8)
+    out[:, : code.shape[1]] = code
+    return out.view(np.uint64)
+
+
 class Search:
     """The best k of the rows seen so far for a block of queries."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, epsilon: float):
         self.ids, self.q, self.k = ids, queries, k
         dim = queries.shape[1]
-        self.turned = (queries @ turn).astype(np.float32) / np.float32(np.sqrt(dim))
-        self.at_centre = (queries @ centre).astype(np.float32)
+        turned = queries @ turn / np.sqrt(dim)
+        low = turned.min(axis=1, initial=0)
+        step = np.maximum((turned.max(axis=1, initial=0) - low) / ((1 << PLANES) - 1), 1e-300)
+        level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+        self.planes = [packed_words(np.packbits(level >> j & 1, axis=1)) for j in range(PLANES)]
+        rounded = low[:, None] + step[:, None] * level
+        # <signs, rounded> = 2 * (low * ones + step * counts) - the sum of rounded
+        self.low, self.step, self.all = (x.astype(np.float32) for x in (2 * low, 2 * step, rounded.sum(axis=1)))
+        rounding = np.sqrt(((turned - rounded) ** 2).sum(axis=1) * dim)
         self.norm = np.sqrt((queries * queries).sum(axis=1)).astype(np.float32)
+        self.rounding = rounding.astype(np.float32)
+        self.at_centre = (queries @ centre).astype(np.float32)
         self.scale = epsilon / np.sqrt(max(dim - 1, 1))
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
 
+    def counted(self, words: np.ndarray, rows: slice) -> np.ndarray:
+        """The inner products of the codes with the rounded levels of some queries, by population counts."""
+        out = np.zeros((len(self.ids[rows]), len(words)), np.uint32)
+        for j, plane in enumerate(self.planes):
+            for w in range(words.shape[1]):
+                out += np.bitwise_count(plane[rows, w, None] & words[None, :, w]).astype(np.uint32) << j
+        return out
+
     def add(self, ids: np.ndarray, x: np.ndarray, code: np.ndarray, length, f, at_centre) -> None:
-        dim = x.shape[1]
-        signs = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
+        words = packed_words(code)
+        ones = np.bitwise_count(words).sum(axis=1, dtype=np.float32)
         factor = (length / f).astype(np.float32)
-        x32 = x.astype(np.float32)
-        size = float(np.sqrt((x * x).sum(axis=1)).max())
         slack = (length * np.sqrt(np.maximum(1 - f * f, 0)) / f * self.scale).astype(np.float32)
+        margin = np.float32(1e-5) * (1 + length.astype(np.float32) + np.abs(at_centre).astype(np.float32))
         for i in range(0, len(self.ids), GROUP):
             rows = slice(i, i + GROUP)
-            est = (self.turned[rows] @ signs.T) * factor + self.at_centre[rows, None]
-            err = self.norm[rows, None] * (slack + np.float32(1e-5) * (1 + length.astype(np.float32) + np.abs(at_centre).astype(np.float32)))
+            signs = self.step[rows, None] * self.counted(words, rows) + self.low[rows, None] * ones - self.all[rows, None]
+            est = signs * factor + self.at_centre[rows, None]
+            err = self.norm[rows, None] * (slack + margin) + self.rounding[rows, None] * factor
             for j in range(len(est)):
-                self._rerank(i + j, est[j], err[j], ids, x, x32, size)
+                self._rerank(i + j, est[j], err[j], ids, x)
 
-    def _rerank(self, i: int, est: np.ndarray, err: np.ndarray, ids: np.ndarray, x: np.ndarray, x32: np.ndarray, size: float) -> None:
+    def _rerank(self, i: int, est: np.ndarray, err: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         score, own = self.best[i]
         floor = score[-1] if len(score) == self.k else -np.inf
         if not np.isfinite(floor) and len(est) > self.k + 1:
@@ -108,12 +137,10 @@ class Search:
             floor = np.partition(lower, -self.k)[-self.k]
         at = np.flatnonzero(est + err >= floor)
         at = at[ids[at] != self.ids[i]]
-        if len(at) > 4 * self.k:  # in single precision first, with its rounding as margin
-            q = self.q[i].astype(np.float32)
-            rough = x32[at] @ q
-            margin = 1e-5 * float(self.norm[i]) * size
+        if len(at) > 4 * self.k:  # by products in another order of sums first, with their rounding as margin
+            rough = x[at] @ self.q[i]
             best = max(floor, np.partition(rough, -self.k)[-self.k])
-            at = at[rough >= best - margin]
+            at = at[rough >= best - 1e-9 * float(self.norm[i]) * max(1.0, float(np.abs(x[at]).max()) * x.shape[1])]
         if not len(at):
             return
         s = inner(x[at], self.q[i])
