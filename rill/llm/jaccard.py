@@ -292,11 +292,13 @@ def classified(docs: DataFrame, n: int, threshold: float, recall: float, doc_id:
 
 def verified(given: DataFrame, reps: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(node, links) of the sets with candidates, and a forest of links (a, b)."""
-    entries = reps.select("node", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    hubs = entries.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    # Clusters only propose, so short names do: sets whose names collide share a cluster and are compared for nothing.
+    named = reps.withColumn("name", F.xxhash64("node"))
+    entries = named.select("name", F.explode("bands").alias("band"))
+    buckets = entries.groupBy("band").agg(F.min("name").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    hubs = entries.join(buckets, "band").where("name <> hub").select(F.col("name").alias("a"), F.col("hub").alias("b"))
     clusters = components(stored(contracted(stored(hubs.distinct(), "hubs")), "stars"))
-    member = clusters.join(reps.select("node", "rep", "text_key", "copies", "grams"), "node")
+    member = clusters.withColumnRenamed("node", "name").join(named.select("name", "node", "rep", "text_key", "copies", "grams"), "name").drop("name")
     sizes = member.groupBy("label").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("grams").cast("long")) / BLOCK_GRAMS)).cast("int").alias("blocks"),
         F.min(F.struct("grams", "node")).getField("node").alias("base"),
@@ -332,7 +334,7 @@ def in_blocks(large: DataFrame, texts: DataFrame, n: int, threshold: float) -> D
     # A base goes once to every block of its cluster: a row for BLOCK_ROWS members or BLOCK_GRAMS n-grams.
     bases = large.where("node = base").select("node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     bases = bases.join(read.select("node", "text"), "node").select("label", "block", F.lit(None).cast("binary").alias("node"), "text")
-    key = F.concat("label", F.col("block").cast("string").cast("binary")).alias("key")
+    key = F.concat_ws(",", "label", "block").alias("key")
     rows = read.unionByName(bases).select(key, "node", "text")
     dealt = rows.repartition("key").sortWithinPartitions("key", F.col("node").asc_nulls_first())
 
@@ -344,7 +346,7 @@ def in_blocks(large: DataFrame, texts: DataFrame, n: int, threshold: float) -> D
     # Block i meets every block j: in unit (min, max).
     paired = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    unit = F.concat("label", F.concat_ws(",", low, high).cast("binary")).alias("unit")
+    unit = F.concat_ws(",", "label", low, high).alias("unit")
     rows = paired.select(unit, "block", "node", "copies", "grams", "base", "body", (low != high).alias("pair"))
     dealt = rows.repartition("unit").sortWithinPartitions("unit")
 
