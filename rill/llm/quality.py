@@ -1,14 +1,16 @@
 """Quality classifier: a sparse rule ensemble.
 
-1. Each whole text becomes a row of statistics (``STATISTICS``), in Arrow batches.
-2. On a bounded sample of labelled rows, boosted histogram trees are grown; every path from a root is a conjunctive rule
+1. A whole text becomes a row of statistics (``STATISTICS``), in Arrow batches: first those of a bounded sample of labelled rows,
+   to fit on, then each row's, once, to score it.
+2. On the sample boosted histogram trees are grown; every path from a root is a conjunctive rule
    over statistics.
 3. A lasso logistic regression (proximal gradient steps) weighs the rules; most weights end at zero.
 4. What is left compiles to one Spark column expression over the statistics, which scores all rows in the JVM.
 
 Defined results: null and empty texts have zero statistics and get the score of such a row; without examples of either
 label all scores are the share of label 1 (one half without any); repeated labels of a document are averaged, null
-ones and those of null ids left out.
+ones and those of null ids left out; very long texts are read whole, at one text's memory; repeated documents get a row and the same score each;
+a score of exactly the threshold is kept; an empty table gives an empty table; other columns, of any names, stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, ship, stored, utf8
+from .common import settled, ship, utf8
 
 #: Bound of the sample of labelled rows: about so many are fitted on.
 ROWS = 20_000
@@ -217,8 +219,8 @@ def with_statistics(docs: DataFrame, text: str, name: str) -> DataFrame:
     return docs.withColumn(name, F.pandas_udf(run, ddl)(F.col(text)))
 
 
-def fit(rows: DataFrame, labels: DataFrame, label: str, doc_id: str) -> RuleEnsemble:
-    """rows: doc_id and a struct ``s`` of statistics."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str) -> RuleEnsemble:
+    """Rules from the statistics of a sample of labelled rows: numbers only leave the executors."""
     one = (
         labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(doc_id).cast("long").alias("id"))
@@ -227,29 +229,27 @@ def fit(rows: DataFrame, labels: DataFrame, label: str, doc_id: str) -> RuleEnse
     n = one.count()
     draw = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000)) / 1e6
     picked = one.where(draw < ROWS / max(n, 1)).limit(2 * ROWS)  # of two numbers each
-    own = rows.select(F.col(doc_id).cast("long").alias("id"), "s").join(F.broadcast(picked), "id").limit(4 * ROWS)
-    t = own.select("id", "y", "s.*").toArrow()
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
+    t = with_statistics(own, "text", "s").select("id", "y", "s.*").limit(4 * ROWS).toArrow()
     x = np.column_stack([t[s].to_numpy() for s in STATISTICS]) if len(t) else np.zeros((0, len(STATISTICS)))
-    order = np.lexsort((x[:, 0], t["id"].to_numpy())) if len(t) else np.zeros(0, np.int64)
-    return RuleEnsemble(x[order], t["y"].to_numpy().astype(np.float64)[order] if len(t) else np.zeros(0))
+    y = t["y"].to_numpy().astype(np.float64) if len(t) else np.zeros(0)
+    order = np.lexsort((*x.T, t["id"].to_numpy())) if len(t) else np.zeros(0, np.int64)
+    return RuleEnsemble(x[order], y[order])
 
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id and score of every row of docs; labels (doc_id, label) are all that is learned from."""
+    model = fit(docs, labels, label, doc_id, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = stored(with_statistics(rows, "text", "s").select("doc_id", "s"), "statistics")
-    model = fit(rows, labels.withColumnRenamed(doc_id, "doc_id"), label, "doc_id")
-    return rows.select("doc_id", model.column([f"s.{s}" for s in STATISTICS]).alias("score"))
+    return with_statistics(rows, "text", "s").select("doc_id", model.column([f"s.{s}" for s in STATISTICS]).alias("score"))
 
 
 def keep_good(
     docs: DataFrame, labels: DataFrame, least: float = 0.5, label: str = "quality", doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The rows of docs that score at least ``least``, with all their columns."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = stored(with_statistics(rows, "text", "s").select("doc_id", "s"), "statistics")
-    model = fit(rows, labels.withColumnRenamed(doc_id, "doc_id"), label, "doc_id")
+    model = fit(docs, labels, label, doc_id, text)
     score = model.column([f"_statistics.{s}" for s in STATISTICS])
     return with_statistics(docs, text, "_statistics").where(score >= least).drop("_statistics")

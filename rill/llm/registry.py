@@ -47,7 +47,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _remainder(doc_id: str, parts: int):
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts))
+    """Of the id's checksum as text; a null id is an empty text, so its remainder is 0 and no row's ``held_out`` is null."""
+    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(parts))
 
 
 def _judged(scored: DataFrame, parts: int, held: int) -> DataFrame:
