@@ -2,7 +2,8 @@
 
 Counting (``count_tokens``): Arrow batches are regrouped into calls of about equal bytes; texts longer than
 ``LONG_CHARS`` are split where the tokenizer cannot join tokens: at a single space between two ASCII letters.
-Only lengths leave the function. A null text counts as empty: no bytes, no tokens.
+Only lengths leave the function. A null text counts as empty: no bytes, no tokens; repeated rows get a row each; a null id stays null;
+an empty table gives an empty table; other columns are left alone.
 
 Encoding (``WordEncoder``): a vocabulary that drops white space and never joins across it encodes a text as the
 sequence of its chunks between white space, so each distinct chunk is encoded once and kept in a bounded cache.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, settled, ship, slices, tokenizer_path
 
-CALL_CHARS = 400_000
+CALL_BYTES = 400_000
 BATCH_BYTES = 4_000_000
 #: Chunks that a word encoder keeps, some 150 bytes each.
 CACHED = 800_000
@@ -68,7 +69,7 @@ def batch_counter(vocabulary: str):
 
 
 def count_batches(
-    batches: Iterator[pa.RecordBatch], vocabulary: str, call_chars: int = CALL_CHARS, long_chars: int = LONG_CHARS
+    batches: Iterator[pa.RecordBatch], vocabulary: str, call_bytes: int = CALL_BYTES, long_chars: int = LONG_CHARS
 ) -> Iterator[pa.RecordBatch]:
     count = batch_counter(vocabulary)
     cut = vocabulary.endswith(".model")
@@ -81,7 +82,7 @@ def count_batches(
             parts += own
             owner += [i] * len(own)
         lengths = np.zeros(len(texts), np.int64)
-        for i, j in by_bytes(parts, call_chars):
+        for i, j in by_bytes(parts, call_bytes):
             np.add.at(lengths, owner[i:j], count(parts[i:j]))
         sizes = np.array([len(t.encode()) for t in texts], np.int64)
         yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes), pa.array(lengths)], schema=_COUNTS)
