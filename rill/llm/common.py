@@ -55,10 +55,18 @@ def tokenizer_path(name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """One folder of this session below ``spark.checkpoint.dir``, or below /tmp/checkpoints where that is unset."""
+    """One folder of this session below ``spark.checkpoint.dir`` or the folder given to ``setCheckpointDir``. Where neither is set,
+    a local session uses /tmp/checkpoints; on a cluster, whose machines would not share that, it is an error."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+            base = chosen.get() if chosen.isDefined() else None
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file:///tmp/checkpoints"
         _folders[app] = f"{base.rstrip('/')}/rill-{app}-{uuid.uuid4().hex[:8]}"
         if _folders[app].startswith("file:"):
             atexit.register(shutil.rmtree, "/" + _folders[app].removeprefix("file:").lstrip("/"), ignore_errors=True)
@@ -158,10 +166,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[
 
 
 def by_bytes(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Cuts a list of texts into runs [i, j) of at most ``most`` characters, one text at least."""
+    """Cuts a list of texts into runs [i, j) of at most ``most`` bytes of UTF-8, one text at least."""
     i = size = 0
     for j, t in enumerate(texts):
-        n = len(t)
+        n = len(t) if t.isascii() else len(utf8(t))
         if j > i and size + n > most:
             yield i, j
             i, size = j, 0
@@ -175,6 +183,38 @@ def text_key(text):
     return F.xxhash64(text, F.isnull(text))
 
 
+#: A key of more rows than this, and than a HOT_KEYS-th of all, is dealt SALTS ways; there are at most HOT_KEYS such keys.
+HOT_ROWS, HOT_KEYS, SALTS = 20_000, 10_000, 64
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame | None:
+    """The keys of so many of the total rows that one task should not gather them, if there are any: HOT_KEYS at most."""
+    if total <= HOT_ROWS:
+        return None
+    return hot_among(rows.groupBy(key).agg(F.count("*").alias("rows")), key, total)
+
+
+def hot_among(counts: DataFrame, key: str, total: int) -> DataFrame | None:
+    """hot_keys by their counts (key, rows)."""
+    if total <= HOT_ROWS:
+        return None
+    many = stored(counts.where(F.col("rows") > max(HOT_ROWS, total / HOT_KEYS)).select(key), "hot")
+    return many if many.limit(1).count() else None
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame | None, spread: str) -> DataFrame:
+    """rows with table's columns by ``key``, one row of table for each; rows of hot keys are dealt by a hash of ``spread``, and the
+    table's rows of those keys are repeated for each deal."""
+    if hot is None:
+        return rows.join(table, key)
+    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # HOT_KEYS rows at most
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(marks, key, "left").withColumn("_salt", salt).drop("_hot")
+    repeated = table.join(marks, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
+
+
 #: Bits of the filter below: it takes 4 MB at most, whatever it stands for.
 FILTER_BITS = 1 << 24
 

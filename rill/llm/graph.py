@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
-
-#: A key of more rows than this, and than a 10,000th of all, goes by broadcast; so at most 10,000 keys do.
-HOT_ROWS, HOT_KEYS = 20_000, 10_000
-
+from . import common
+from .common import discard, hot_keys, looked_up, stored
 
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of the same components, in proportion to the nodes: of each a one edge to its least b, and one from that to
@@ -20,30 +17,12 @@ def contracted(edges: DataFrame) -> DataFrame:
     return own.union(others)
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """rows with table's columns by ``key``, one row of table for each. Rows of hot keys (at most HOT_KEYS, a stored table) stay where they are."""
-    if hot is None:
-        return rows.join(table, key)
-    few = table.join(F.broadcast(hot), key, "left_semi")
-    light = rows.join(F.broadcast(hot), key, "left_anti").join(table, key)
-    return light.unionByName(rows.join(F.broadcast(few), key))
-
-
-def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame | None:
-    """The keys of so many of the total rows that one task should not gather them, if there are any: HOT_KEYS at most."""
-    if total <= HOT_ROWS:
-        return None
-    counts = rows.groupBy(key).count()
-    many = stored(counts.where(F.col("count") > max(HOT_ROWS, total / HOT_KEYS)).select(key), "hot")
-    return many if many.limit(1).count() else None
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): each node of edges (a, b), and the smallest node of its component.
 
     A round: each node takes the least label around it, then the label that this one has. What a label has seen doubles
     each round, so rounds grow with the logarithm of the longest path. Each round's labels are a stored table. Minima go
-    before the shuffle, and hubs and labels that many nodes look up are sent to them, so neither gathers its neighbours in a task.
+    before the shuffle, and rows that look up a hub or a common label are dealt in many ways, so neither gathers its neighbours in a task.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     hubs = hot_keys(both, "b", 2 * edges.count())
@@ -52,12 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = labels.count()
     while labels.where("moved").limit(1).count():
         of = labels.select("node", "label")
-        around = looked_up(both, "b", of.withColumnRenamed("node", "b"), hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        around = looked_up(both, "b", of.withColumnRenamed("node", "b"), hubs, "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = of.join(around, "node").select("node", "label", F.least("label", "near").alias("low"))
-        low = stored(low, "low") if nodes > HOT_ROWS else low
+        low = stored(low, "low") if nodes > common.HOT_ROWS else low
         known = of.select(F.col("node").alias("low"), F.col("label").alias("further"))
-        new = looked_up(low, "low", known, hot_keys(low, "low", nodes)).select("node", F.least("low", "further").alias("new"), "label")
+        new = looked_up(low, "low", known, hot_keys(low, "low", nodes), "node").select("node", F.least("low", "further").alias("new"), "label")
         new = new.select("node", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved"))
         old, labels = labels, stored(new, "labels")
-        discard(old, *([low] if nodes > HOT_ROWS else []))
+        discard(old, *([low] if nodes > common.HOT_ROWS else []))
     return labels.select("node", "label")

@@ -12,7 +12,8 @@ Log posterior of a language = TEMPER * log likelihood + log P(declared | languag
 Defined results: ``und`` (rejected) where the share of n-grams that the best language knows is below LEAST_KNOWN, as for
 null, empty or letterless texts and for other scripts, or where no language reaches LEAST_CONFIDENCE; a missing
 declaration, suffix or host is a value of its own; ties go to the language that comes first by name; with no labelled
-texts all rows are ``und``.
+texts all rows are ``und``; pages and texts of any length are read whole in time that grows with them; repeated rows get a
+row each, equal but for what the other copies add to their host; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, ship, slices, stored, text_key, utf8, without
+from .common import hot_among, looked_up, settled, ship, slices, stored, text_key, utf8, without
 from .toxicity import LOWER
 
 GRAM, TABLE_BITS = 4, 18
@@ -110,20 +111,46 @@ class TextModel:
 
 
 LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|nav|head|header|footer|aside)\b.*?</\1\s*>", re.I | re.S)
+#: Hidden parts begin with a comment's or one of these elements' opening and end with its closing.
+OPENING = re.compile(r"<!--|<(script|style|nav|head|header|footer|aside)\b", re.I)
+CLOSING = {"": re.compile("-->")} | {n: re.compile(rf"</{n}\s*+>", re.I) for n in ("script", "style", "nav", "head", "header", "footer", "aside")}
+ROOT, LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*+=\s*+[\"']?+\s*+([A-Za-z]+)", re.I)
 TAG = re.compile(r"<[^>]*>")
-HOST = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]+)", re.I)
+LONG_REFERENCE = re.compile(r"&#([0-9]{9,});?")
+HOST = re.compile(r"^\s*+(?:[a-z][a-z0-9+.-]*+:)?//(?:[^/?#@]*+@)?([^/?#:\s]+)", re.I)
 
 
 def visible_text(page: str | None) -> str:
-    """What a page shows: no mark-up, scripts, styles, navigation or comments."""
-    return " ".join(html.unescape(TAG.sub(" ", HIDDEN.sub(" ", page or ""))).split())
+    """What a page shows: no mark-up, scripts, styles, navigation or comments. Parts that are not closed are shown.
+
+    One pass from left to right: what is missing once further on is not looked for again, so time grows with the page."""
+    page, parts, at, unclosed = page or "", [], 0, set()
+    for m in OPENING.finditer(page):
+        kind = (m[1] or "").lower()
+        if m.start() < at or kind in unclosed:
+            continue
+        end = CLOSING[kind].search(page, m.end())
+        if end is None:
+            unclosed.add(kind)
+            continue
+        parts.append(page[at : m.start()])
+        at = end.end()
+    text = " ".join([*parts, page[at:]])
+    last = text.rfind(">") + 1  # beyond it no tag ends
+    text = TAG.sub(" ", text[:last]) + text[last:]
+    text = LONG_REFERENCE.sub(lambda r: f"&#{(r[1].lstrip('0') or '0')[:9]};", text)
+    return " ".join(html.unescape(text).split())
 
 
 def declared_language(page: str | None) -> str:
-    m = DECLARED.search(page or "")
-    return m[1].lower() if m else ""
+    """The language that an <html> tag declares, "" for none."""
+    page, at = page or "", 0
+    while m := ROOT.search(page, at):
+        at = page.find(">", m.end())
+        at = len(page) if at < 0 else at
+        if found := LANG.search(page, m.end(), at):
+            return found[1].lower()
+    return ""
 
 
 def host_of(url: str | None) -> str:
@@ -204,7 +231,9 @@ def fuse(seen: DataFrame, names: list[str]) -> DataFrame:
         und = F.lit("und")
         return seen.select("id", und.alias("lang"), F.lit(0.0).alias("confidence"), und.alias("text_lang"), "declared", "host", "key")
     k = len(names)
-    hosts = stored(seen.groupBy("host", "domain").agg(sums(k, "own").alias("at_host")), "hosts")
+    total_rows = seen.count()
+    hosts = stored(seen.groupBy("host", "domain").agg(sums(k, "own").alias("at_host"), F.count("*").alias("rows")), "hosts")
+    hot = hot_among(hosts.select("host", "rows"), "host", total_rows)
     all_ = np.array(hosts.agg(sums(k, "at_host")).first()[0])
     base = F.array(*[F.lit(float(x)) for x in DOMAIN_ROWS * (all_ + 1.0) / (all_ + 1.0).sum()])
     domains = hosts.groupBy("domain").agg(sums(k, "at_host").alias("at_domain")).select("domain", plus(F.col("at_domain"), base).alias("at_domain"))
@@ -215,8 +244,9 @@ def fuse(seen: DataFrame, names: list[str]) -> DataFrame:
     hosts = hosts.join(parents, "domain").select("host", "at_host", "parent")
     joined = seen.withColumn("score", F.col("lik"))
     for name in ("declared", "suffix"):
-        joined = joined.join(reliability(seen, name, all_), name).withColumn("score", plus(F.col("score"), F.col("given"))).drop("given")
-    joined = joined.join(hosts, "host")
+        given, often = reliability(seen, name, all_, total_rows)
+        joined = looked_up(joined, name, given, often, "id").withColumn("score", plus(F.col("score"), F.col("given"))).drop("given")
+    joined = looked_up(joined, "host", hosts, hot, "id")
     # The host's sums without the row itself. What all languages' priors are divided by cancels.
     rest = F.zip_with("at_host", "own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
     joined = joined.withColumn("post", F.zip_with("score", plus(rest, F.col("parent")), lambda x, p: x + F.log(p)))
@@ -236,11 +266,13 @@ def fuse(seen: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def reliability(seen: DataFrame, name: str, total: np.ndarray) -> DataFrame:
-    """log P(value | language) as ``given``: a row for each value that occurs. total: the sums of all rows."""
-    groups = stored(seen.groupBy(name).agg(sums(len(total), "own").alias("sums")), name)
+def reliability(seen: DataFrame, name: str, total: np.ndarray, rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """log P(value | language) as ``given``, a row for each value that occurs, and the values of very many rows. total: the sums of
+    all rows."""
+    groups = stored(seen.groupBy(name).agg(sums(len(total), "own").alias("sums"), F.count("*").alias("rows")), name)
     size = F.array(*[F.lit(float(x)) for x in total + 0.5 * (groups.count() + 1)])
-    return groups.select(name, F.zip_with("sums", size, lambda c, n: F.log((c + 0.5) / n)).alias("given"))
+    given = groups.select(name, F.zip_with("sums", size, lambda c, n: F.log((c + 0.5) / n)).alias("given"))
+    return given, hot_among(groups.select(name, "rows"), name, rows)
 
 
 def identify(rows: DataFrame, model: TextModel, pages: bool) -> DataFrame:

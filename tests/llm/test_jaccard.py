@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from rill.llm import graph
+from rill.llm import common, graph
 from rill.llm import jaccard as J
 
 
@@ -144,7 +144,8 @@ def test_long_texts_and_other_columns(spark, monkeypatch):
 
 
 def test_components_with_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(graph, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
     edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(130, 200 + i) for i in range(30)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(60)} | {i: 100 for i in [*range(100, 131), *range(200, 230)]}

@@ -103,6 +103,46 @@ def test_every_language_and_value_counts(spark):
         assert abs(got[i].confidence - p.max()) < 1e-9
 
 
+@pytest.mark.parametrize("piece", ["<!--", "<script ", "<html ", "<", "</script", "lang=", "<html lang=" + " " * 50, "&#9", "&#" + "9" * 5000 + ";", "<head><!-- -->", "//", "a:"])
+def test_long_odd_pages_take_time_in_proportion(piece):
+    import time
+
+    page = piece * (4_000_000 // len(piece))
+    began = time.process_time()
+    L.visible_text(page), L.declared_language(page), L.host_of(page)
+    assert time.process_time() - began < 10
+
+
+def test_hidden_parts_and_declarations():
+    page = "<!doctype html><HEAD>t</head><header>h</header >a<!-- <p> -->b<script>x</script>c<style>s</STYLE>d<nav>e"
+    assert L.visible_text(page) == "a b c d e"
+    assert L.visible_text("<!-- never closed <p>x</p> &amp; <script>y</script> 1 < 2") == "<!-- never closed x & 1 < 2".replace("<!-- never closed ", "")
+    assert L.visible_text("&#65;&#0000000000066;&#" + "9" * 6000 + ";&lt;") == "AB\ufffd<"
+    for tag, want in (("<html lang=de>", "de"), ("<HTML class='x' LANG = 'pt-BR'>", "pt"), ("<html><p lang=de>", ""), ("<htmlx lang=de>", ""), ("<html lang=>", ""), ("<html a><html lang=fr", "fr")):
+        assert L.declared_language(tag) == want, tag
+
+
+def test_hot_hosts_are_dealt(spark, monkeypatch):
+    """Many rows of one host and one declaration: the same result as with no key taken for hot."""
+    from rill.llm import common
+
+    rnd = random.Random(11)
+    model = L.labelled_model(spark.createDataFrame(docs(), "doc_id long, text string, lang string, source string"), "lang")
+    rows = [(i, text(rnd.choice(["aa", "bb"]), rnd, 3), "aa" if i % 3 else "bb", "hot.x.aa" if i % 4 else f"h{i}.y.bb") for i in range(200)]
+    df = spark.createDataFrame([*rows, rows[0], (300, None, None, None)], "id long, text string, declared string, url string")
+    plain = sorted(map(tuple, L.identify(df, model, pages=False).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "HOT_KEYS", 8)
+    assert sorted(map(tuple, L.identify(df, model, pages=False).collect())) == plain and len(plain) == 202
+
+
+def test_ties_go_to_the_first_name(spark):
+    own = [(i, "same words here", x, "s") for i, x in enumerate(["bb", "aa"] * 20)]
+    model = L.labelled_model(spark.createDataFrame(own, "doc_id long, text string, lang string, source string"), "lang")
+    rows = spark.createDataFrame([(1, "same words here", None, None)], "id long, text string, declared string, url string")
+    assert [(r.lang, r.text_lang) for r in L.identify(rows, model, pages=False).collect()] == [("aa", "aa")]
+
+
 def test_given_pages(spark, small):
     from rill.llm.registry import op8_language_fusion
 
