@@ -7,6 +7,8 @@ near equal.
    text key with partial sums; a group of any size is one row.
 2. Groups heavier than 1/50 of a shard (by bytes or rows; at most 100 a shard exist) are placed one by one, the heaviest
    first, each whole in the emptiest shard. Only a group that no shard can hold is split, into the fewest equal parts.
+   These go round the tree, whose leaves could not stay near equal with them: all groups of a table of fewer than HEAVY rows a
+   shard, none of a large table without big groups. Leaves stop at the number of shards: their target bytes are the total by it.
 3. What room is left makes the leaves' targets. Level by level, every node is split along its widest dimension at the
    distributed weighted quantile that its halves' targets ask for (the median when they are equal): one grouped sum over
    the dimension's values, and within the value on the boundary one over a hash, so that ties split finely. The driver

@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from rill.llm import sharding as S
 
 
@@ -50,3 +52,53 @@ def test_no_python_in_the_plan(spark, small, capsys):
 
     op3_kd_sharding(spark, small).explain()
     assert not any(x in capsys.readouterr().out for x in ("Python", "Pandas", "Arrow"))
+
+
+def by_brute_force(units, shards):
+    """key -> shard: the tree grown over plain lists. units: (key, coordinates, cell, weight), none of them heavy."""
+    spread = [max(1, max(u[1][d] for u in units) - min(u[1][d] for u in units)) for d in range(3)]
+    homes = {}
+
+    def grow(own, first, last):
+        if last - first == 1 or not own:
+            homes.update((u[0], first) for u in own)
+            return
+        mid = (first + last) // 2
+        width = [(max(u[1][d] for u in own) - min(u[1][d] for u in own)) / spread[d] for d in range(3)]
+        dim = width.index(max(width))
+        goal = sum(u[3] for u in own) * (mid - first) / (last - first)
+
+        def reached(rows, at):
+            """The first value whose running weight reaches the goal, its weight, and the weight before it."""
+            before = 0
+            for v in sorted({at(u) for u in rows}):
+                w = sum(u[3] for u in rows if at(u) == v)
+                if before + w >= goal:
+                    return v, w, before
+                before += w
+
+        value, _, before = reached(own, lambda u: u[1][dim])
+        goal -= before
+        cell, w, before = reached([u for u in own if u[1][dim] == value], lambda u: u[2])
+        cell += before + w - goal < goal - before
+        low = [u for u in own if (u[1][dim], u[2]) < (value, cell)]
+        grow(low, first, mid)
+        grow([u for u in own if u not in low], mid, last)
+
+    grow(units, 0, shards)
+    return homes
+
+
+def test_tree_equals_brute_force(spark):
+    """Where no unit is heavy the shards are those of a k-d tree over plain lists, ties on a coordinate included."""
+    rnd = random.Random(7)
+    rows = [(i, f"{i} " + "x" * rnd.randrange(20, 60), rnd.choice(["en", "fr", "de", None]), f"s{rnd.randrange(40)}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    size = F.octet_length("text").cast("long") + 8
+    own = df.select(
+        "doc_id", F.array(*S.coordinates(df, ("lang", "source"), size)).alias("at"), size.alias("size"),
+        F.pmod(F.xxhash64(F.xxhash64("text", size, F.lit(False))), F.lit(S.CELLS)).cast("int").alias("cell"),
+    )
+    units = [(r.doc_id, tuple(r["at"]), r.cell, r.size) for r in own.collect()]
+    got = {r.doc_id: r.shard for r in S.kd_shards(df, 4).collect()}
+    assert got == by_brute_force(units, 4)
