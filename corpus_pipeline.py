@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result to the shared folder and reads
 it back as the next stage's docs. All stages but the last return the columns of documents.
+
+Defined results of the stages that filter: a row is judged by its id and text, so rows repeated with both go or stay together (but for near
+duplicates, of which one stays); a null id is an id; columns that are not read, of any names and with any nulls, stay as they are; very long texts are
+read whole; an empty table passes as an empty table. The operators' modules say what null and empty texts and ties give: language ID rejects
+texts without letters, the quality classifier scores them as texts without words, texts without words are near duplicates of nothing
+and hold no benchmark window, and packing gives a null text its end token alone.
 """
 
 from __future__ import annotations
