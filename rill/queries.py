@@ -13,6 +13,8 @@ from . import workload as K
 from .functions.expr import c, call
 from .functions.kernels import gathers, n_distinct, rowwise
 from .functions.types import DataType
+from .operators import relational as R
+from .operators.column import Column
 from .operators.frame import Frame
 from .operators.storage import new_path
 from .plans.pipeline import Pipeline, aggregate, derive, exclude, groupBy, keep, remove, select, ungroup
@@ -216,6 +218,94 @@ def csv_round_trip(spark, sf_dir):
     return read_csv(at).sdf.select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
 
 
+@query("SELECT count(*) AS n, sum(n_nationkey) AS keys, max(n_name) AS last FROM nation")
+def column_from_strings(spark, sf_dir):
+    """Texts read as the types that hold them all, in memory."""
+    nation = Frame(source(spark, sf_dir, "nation"))
+    keys = Column.from_strings([f"{k}" for k in nation.get_col("n_nationkey")] + ["na", ""])
+    names = Column.from_strings([*nation.get_col("n_name"), "null", "."])
+    f = Frame.from_columns({"k": keys, "name": names})
+    return f.sdf.agg(F.count("k").alias("n"), F.sum("k").alias("keys"), F.max("name").alias("last"))
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey IN (SELECT r_regionkey FROM region LIMIT 1 OFFSET 3)")
+def get_value(spark, sf_dir):
+    """Two cells by position."""
+    f = Frame(source(spark, sf_dir, "region"))
+    return Frame.from_list([[f.get_value("r_regionkey", 3)], [f.get_value(1, 3)]], ["r_regionkey", "r_name"]).sdf.select(F.col("r_regionkey").cast("int"), "r_name")
+
+
+@query("SELECT CASE WHEN n_nationkey = 7 THEN 'seventh' ELSE n_name END AS n_name FROM nation WHERE n_nationkey IN (3, 7, 24)")
+def column_edits(spark, sf_dir):
+    """A column in memory with one value changed, and some of its rows."""
+    nation = Frame(source(spark, sf_dir, "nation"))
+    keys, names = list(nation.get_col("n_nationkey")), nation.get_col("n_name")
+    names = names.with_value(keys.index(7), "seventh").take([keys.index(k) for k in (24, 7, 3)])
+    return Frame.from_columns({"n_name": names}).sdf
+
+
+# Beyond the verbs
+
+
+@query("""SELECT c_custkey, n_name, o_orderkey FROM (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 = 0)
+    FULL JOIN (SELECT n_nationkey AS c_nationkey, n_name FROM nation WHERE n_regionkey < 2) USING (c_nationkey)
+    LEFT JOIN (SELECT o_orderkey, o_custkey AS c_custkey FROM orders WHERE o_totalprice > 300000) USING (c_custkey)""")
+def join_full(spark, sf_dir):
+    t = lambda n: Frame(source(spark, sf_dir, n))
+    customers = t("customer").keep(call(np.mod, c("c_custkey"), 3) == 0).select("c_custkey", "c_nationkey")
+    nations = t("nation").keep(c("n_regionkey") < 2).select("n_nationkey", "n_name")
+    orders = t("orders").keep(c("o_totalprice") > 300000).select("o_orderkey", "o_custkey")
+    out = R.join(R.join(customers, nations, {"c_nationkey": "n_nationkey"}, "full"), orders, {"c_custkey": "o_custkey"}, "left")
+    return out.select("c_custkey", "n_name", "o_orderkey").sdf
+
+
+@query("SELECT n_name, s_name FROM (SELECT s_name, s_nationkey FROM supplier WHERE s_acctbal > 5000) RIGHT JOIN nation ON s_nationkey = n_nationkey")
+def join_right(spark, sf_dir):
+    rich = Frame(source(spark, sf_dir, "supplier")).keep(c("s_acctbal") > 5000).select("s_name", "s_nationkey")
+    return R.join(rich, Frame(source(spark, sf_dir, "nation")), {"s_nationkey": "n_nationkey"}, "right").select("n_name", "s_name").sdf
+
+
+@query("""SELECT c_custkey, true AS ordered FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+    UNION ALL SELECT c_custkey, false FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def join_semi_anti(spark, sf_dir):
+    customers, orders = (Frame(source(spark, sf_dir, n)) for n in ("customer", "orders"))
+    pending = orders.keep(c("o_orderstatus") == "P")
+    with_, without = (R.join(customers, pending, {"c_custkey": "o_custkey"}, how).select("c_custkey") for how in ("semi", "anti"))
+    return R.union(with_.derive(ordered=True), without.derive(ordered=False)).sdf
+
+
+@query("""(SELECT DISTINCT 'both' AS of, s_nationkey AS nation FROM supplier INTERSECT SELECT 'both', c_nationkey FROM customer WHERE c_acctbal < 0)
+    UNION ALL (SELECT 'rest', c_nationkey FROM customer EXCEPT SELECT 'rest', s_nationkey FROM supplier WHERE s_acctbal > 9000)""")
+def row_sets(spark, sf_dir):
+    t = lambda n, key: Frame(source(spark, sf_dir, n)).rename_col(key, "nation")
+    suppliers, customers = t("supplier", "s_nationkey"), t("customer", "c_nationkey")
+    both = R.intersect(R.distinct(suppliers.select("nation")), customers.keep(c("c_acctbal") < 0).select("nation"))
+    rest = R.subtract(customers.select("nation"), suppliers.keep(c("s_acctbal") > 9000).select("nation"))
+    return R.union(both.derive(of="both"), rest.derive(of="rest")).sdf
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
+def top_rows(spark, sf_dir):
+    return R.top(Frame(source(spark, sf_dir, "orders")), 25, "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice").sdf
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, max(l_quantity) AS top, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level
+    FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def cube_subtotals(spark, sf_dir):
+    return R.cube(Frame(source(spark, sf_dir, "lineitem")), ["l_returnflag", "l_linestatus"], n=("l_quantity", len), top=("l_quantity", max)).sdf
+
+
+@query("""SELECT l_returnflag, l_linestatus, avg(l_quantity) AS mean, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS level
+    FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def rollup_subtotals(spark, sf_dir):
+    return R.rollup(Frame(source(spark, sf_dir, "lineitem")), ["l_returnflag", "l_linestatus"], mean=("l_quantity", np.mean)).sdf
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation WHERE n_name > 'F' GROUP BY n_regionkey")
+def sql_text(spark, sf_dir):
+    return R.sql("SELECT n_regionkey, count(*) AS n FROM {nation} WHERE n_name > 'F' GROUP BY n_regionkey", nation=Frame(source(spark, sf_dir, "nation"))).sdf
+
+
 # The analysis
 
 

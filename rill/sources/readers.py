@@ -85,7 +85,7 @@ def records(path: str, skip: int) -> SparkFrame:
                 stream = io.StringIO(text, newline="")
                 for _ in range(skip):
                     stream.readline()
-                rows = (r for r in csv.reader(stream) if r)
+                rows = (r for r in csv.reader(stream, quoting=csv.QUOTE_NOTNULL) if r)  # what is empty and not quoted is missing
                 number = 0
                 while held := list(itertools.islice(rows, 10_000)):
                     numbers = pa.array(range(number, number + len(held)), pa.int64())
