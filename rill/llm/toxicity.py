@@ -44,7 +44,7 @@ MARK, TAIL = b"  ", b"\n" * 9
 LEAST_MATCHES = 5, 6
 GAINS = range(1, 9)
 #: Trained bytes of ordinary text, and of either class's own end (with the entropy tables in front of the latter).
-BASE_BYTES, OWN_BYTES, TABLE_BYTES = 32 * 1024, 2048, 256
+BASE_BYTES, OWN_BYTES, TABLE_BYTES = 64 * 1024, 2048, 256
 #: Runs of bytes that set toxic words apart: length, texts that have one, how much oftener than ordinary texts.
 RUN, LEAST_COUNT, LEAST_RATIO = 7, 8, 8
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -197,11 +197,10 @@ class Model:
         for kept in own.values():
             random.Random(5).shuffle(kept)
         words = {label: [words_of(t) for t in kept] for label, kept in own.items()}
-        base = base_of(words[0])
         x, yy = [], []
         for fold in range(FOLDS):
             others = {k: [t for i, t in enumerate(w) if i % FOLDS != fold] or w for k, w in words.items()}
-            c = Dictionaries(base, toxic_end(others[1], others[0])).compressors()
+            c = Dictionaries(base_of(others[0]), toxic_end(others[1], others[0])).compressors()
             rows = [(k, t) for k, kept in own.items() for t in kept[fold::FOLDS]]
             for a in range(0, len(rows), 100):
                 x.append(features([t for _, t in rows[a : a + 100]], c))
@@ -210,7 +209,7 @@ class Model:
         share = y.mean() if share is None else share
         weight = np.where(known == 1, share / known.mean(), (1 - share) / (1 - known.mean()))
         self.calibrated = Logistic(np.vstack(x), known, weight)
-        self.dictionaries = Dictionaries(base, toxic_end(words[1], words[0]))
+        self.dictionaries = Dictionaries(base_of(words[0]), toxic_end(words[1], words[0]))
 
     def scores(self, texts: list[str | None], compressors: list) -> np.ndarray:
         return self.calibrated(features(texts, compressors))
