@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 from .common import discard, hot_keys, looked_up, stored
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) of the same components, in proportion to the nodes: of each a one edge to its least b, and one from that to
-    each other b, every pair once. edges are read twice; a's other ends meet in grouped minima, never in a list."""
-    least = edges.groupBy("a").agg(F.min("b").alias("low"))
-    own = least.select("a", F.col("low").alias("b"))
-    others = edges.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    """Edges of the same components as edges (a, b), in proportion to the nodes: of each a one edge to its least b, and one from that to
+    each other b, every pair once. An a must have few different b (here at most the bands, or the blocks of a cluster)."""
+    low = F.min("b").over(W.partitionBy("a"))
+    each = edges.select("a", "b").withColumn("low", low)
+    own = each.select("a", F.col("low").alias("b")).distinct()
+    others = each.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
     return own.union(others)
 
 

@@ -297,7 +297,7 @@ def verified(given: DataFrame, reps: DataFrame, n: int, threshold: float) -> tup
     entries = named.select("name", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.min("name").alias("hub"), F.count("*").alias("members")).where("members > 1")
     hubs = entries.join(buckets, "band").where("name <> hub").select(F.col("name").alias("a"), F.col("hub").alias("b"))
-    clusters = components(stored(contracted(stored(hubs.distinct(), "hubs")), "stars"))
+    clusters = components(stored(contracted(hubs), "stars"))
     member = clusters.withColumnRenamed("node", "name").join(named.select("name", "node", "rep", "text_key", "copies", "grams"), "name").drop("name")
     sizes = member.groupBy("label").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("grams").cast("long")) / BLOCK_GRAMS)).cast("int").alias("blocks"),
@@ -324,8 +324,8 @@ def verified(given: DataFrame, reps: DataFrame, n: int, threshold: float) -> tup
     if large.limit(1).count():
         found = found.unionByName(in_blocks(large, texts, n, threshold))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    forest = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
-    return links, stored(contracted(stored(forest, "roots")), "forest")
+    roots_ = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return links, stored(contracted(roots_), "forest")
 
 
 def in_blocks(large: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
