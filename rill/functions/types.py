@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from enum import StrEnum
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,16 +104,10 @@ def join(a: DataType, b: DataType) -> DataType:
 
 
 def guess(values: Iterable) -> DataType | None:
-    """The type that holds every value that is not missing; None if all are."""
-    found = None
-    for v in values:
-        if v is None or is_missing(str(v)):
-            continue
-        own = infer(str(v))
-        found = own if found is None else join(found, own)
-        if found == DataType.STRING:
-            break
-    return found
+    """The type that holds every value that is not missing; None if all are. What types occur decides, in any order."""
+    texts = {str(v) for v in values if v is not None}
+    kinds = {infer(t) for t in texts if not is_missing(t)}
+    return reduce(join, sorted(kinds)) if kinds else None
 
 
 # The same rules as Spark columns.
