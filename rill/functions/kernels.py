@@ -45,6 +45,12 @@ def _double(make: Callable[..., Column]) -> Callable[..., Typed]:
     return run
 
 
+def _floor(v: Column) -> Column:
+    """Of doubles. Spark's floor and ceil are longs, which have no negative zero, no NaN, no infinities and an end; from 2^52 on all
+    doubles are whole."""
+    return F.when((v != 0) & (F.abs(v) < F.lit(2.0**52)), F.floor(v).cast("double")).otherwise(v)
+
+
 def _logarithm(make: Callable[[Column], Column], offset: float = 0.0) -> Callable[..., Typed]:
     """Spark gives null outside the domain where NumPy gives -inf and NaN."""
 
@@ -121,7 +127,7 @@ NATIVE: dict[Callable, Callable[..., Typed]] = {
     np.log: _logarithm(F.ln), np.log2: _logarithm(F.log2), np.log10: _logarithm(F.log10), np.log1p: _logarithm(F.log1p, 1.0),
     np.sin: _double(F.sin), np.cos: _double(F.cos), np.tan: _double(F.tan), np.arcsin: _double(F.asin), np.arccos: _double(F.acos), np.arctan: _double(F.atan), np.arctan2: _double(F.atan2),
     np.sinh: _double(F.sinh), np.cosh: _double(F.cosh), np.tanh: _double(F.tanh), np.arcsinh: _double(F.asinh), np.arccosh: _double(F.acosh), np.arctanh: _double(F.atanh),
-    np.floor: _double(lambda v: F.floor(v).cast("double")), np.ceil: _double(lambda v: F.ceil(v).cast("double")), np.rint: _double(F.rint),
+    np.floor: _double(_floor), np.ceil: _double(lambda v: -_floor(-v)), np.rint: _double(F.rint),
     np.hypot: _double(F.hypot), np.degrees: _double(F.degrees), np.rad2deg: _double(F.degrees), np.radians: _double(F.radians), np.deg2rad: _double(F.radians),
     np.mod: _modulo, np.floor_divide: _floor_divide,
     np.maximum: _extreme(F.greatest, "max"), np.minimum: _extreme(F.least, "min"),
