@@ -19,6 +19,8 @@ import shutil
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -78,13 +80,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder once and returns the table written."""
+#: What the innermost block of ``short_lived`` has stored.
+_passing: ContextVar[list[DataFrame] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def short_lived() -> Iterator[None]:
+    """Deletes, at its end, the tables that were stored meanwhile but not to last: for operators whose result reads no more than the rows
+    given and a stored decision."""
+    made: list[DataFrame] = []
+    token = _passing.set(made)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        discard(*made)
+
+
+def stored(df: DataFrame, name: str, lasts: bool = False) -> DataFrame:
+    """Writes df to the shared folder once and returns the table written. lasts: beyond a block of ``short_lived`` too."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if not lasts and (made := _passing.get()) is not None:
+        made.append(out)
     return out
 
 
@@ -238,7 +259,7 @@ def without(rows: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFra
     """rows, with all columns, less those whose id and text are in gone (id, key); a null id is an id.
 
     Rows that are surely not in gone skip the join, so texts that stay are not shuffled."""
-    listed = stored(gone.select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct(), "gone")
+    listed = stored(gone.select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct(), "gone", lasts=True)
     key, own = F.col(doc_id).cast("long"), text_key(F.col(text))
     seen = flagged(rows, listed, [key, own], "_maybe")
     same = key.eqNullSafe(F.col("_gone_id")) & (own == F.col("_gone_key"))

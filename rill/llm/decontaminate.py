@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, ship, slices, stored, text_key, without, word_codes, words_of
+from .common import settled, ship, short_lived, slices, stored, text_key, without, word_codes, words_of
 
 SEGMENT_BYTES = 2_000_000
 BLOCK_BYTES = 8_000_000
@@ -311,10 +311,11 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_clean(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """docs, with all columns, without the rows that hold any benchmark window."""
-    found = find_contamination(docs, benchmark, window, None, doc_id, text)
-    gone = found.where(F.size("items") > 0).select(F.col("doc_id").alias("id"), "key")
-    return without(docs, gone, doc_id, text)
+    """docs, with all columns, without the rows that hold any benchmark window. The index goes when these are found."""
+    with short_lived():
+        found = find_contamination(docs, benchmark, window, None, doc_id, text)
+        gone = found.where(F.size("items") > 0).select(F.col("doc_id").alias("id"), "key")
+        return without(docs, gone, doc_id, text)
 
 
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int | None, str | None]], window: int = 10) -> list[tuple]:

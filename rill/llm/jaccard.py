@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flagged, settled, ship, shingle_hashes, slices, stored, text_key, without, word_codes, words_of
+from .common import flagged, settled, ship, shingle_hashes, short_lived, slices, stored, text_key, without, word_codes, words_of
 from .graph import components, contracted
 
 N = 5
@@ -361,13 +361,15 @@ def keep_one(
 ) -> DataFrame:
     """docs with one row of each near-duplicate class: the one with the smallest id, null being the last (of rows with that
     id, one with the text whose key comes first); rows without words stay."""
-    found = classified(docs, n, threshold, recall, doc_id, text, null_ids=True).where("n_links > 0")
-    # A class is a component, whatever ids it shares with others.
-    texts = stored(found.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("rows")), "texts")
-    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "rows"))
-    chosen = stored(texts.groupBy("label").agg(first.alias("kept")).select("label", "kept.id", "kept.key", F.col("kept.rows").alias("copies")), "chosen")
-    gone = texts.join(chosen, "label").where(~F.col("doc_id").eqNullSafe(F.col("id")) | (F.col("text_key") != F.col("key")))
-    rest = without(docs, gone.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")), doc_id, text)
+    with short_lived():  # what follows reads docs, the rows that go and the rows chosen
+        found = classified(docs, n, threshold, recall, doc_id, text, null_ids=True).where("n_links > 0")
+        # A class is a component, whatever ids it shares with others.
+        texts = stored(found.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("rows")), "texts")
+        first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "rows"))
+        chosen = texts.groupBy("label").agg(first.alias("kept")).select("label", "kept.id", "kept.key", F.col("kept.rows").alias("copies"))
+        chosen = stored(chosen, "chosen", lasts=True)
+        gone = texts.join(chosen, "label").where(~F.col("doc_id").eqNullSafe(F.col("id")) | (F.col("text_key") != F.col("key")))
+        rest = without(docs, gone.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")), doc_id, text)
     twice = chosen.where("copies > 1").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
     if not twice.limit(1).count():
         return rest

@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline as P
 from rill.llm import decontaminate as D
 from rill.llm import jaccard as J
+from rill.llm.common import hadoop_path, shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}" for a in ("stone", "river", "light", "garden", "winter", "paper", "cloud", "metal") for b in ("s", "ing", "ed", "er", "ly", "less", "ness")]
@@ -49,6 +50,35 @@ def test_stages_one_by_one(spark, corpus):
     assert ids(kept[3]) == clean and 202 not in clean and 206 in clean
 
 
+def left(spark, before=()):
+    """Kinds of tables in the shared folder, by what is there now and was not before."""
+    at, fs = hadoop_path(spark, shared_folder(spark))
+    now = {x.getPath().getName() for x in fs.listStatus(at)} if fs.exists(at) else set()
+    return now, {x.rpartition("-")[0] for x in now - set(before) if "-" in x}
+
+
+def test_deciding_stages_leave_no_tables_but_their_decisions(spark, corpus, monkeypatch):
+    """Large clusters and blocks of the benchmark too; the result comes from what is left."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", 2)
+    folder, table = corpus
+    docs = spark.createDataFrame([*table, *((300 + i, table[6][1] + f" {w}", "en", "s", 0) for i, w in enumerate(WORDS[:8]))], DOCS)
+    before, _ = left(spark)
+    kept = J.keep_one(docs)
+    middle, kinds = left(spark, before)
+    assert kinds == {"gone", "chosen"}
+    clean = D.keep_clean(kept, spark.read.parquet(f"{folder}/benchmark.parquet"))
+    assert left(spark, middle)[1] == {"gone"}
+    ids = sorted(r.doc_id for r in clean.collect())
+    assert not {*ids} & {200, 201, 202, *range(300, 308)} and {1, 2, 6, 203, 204, 205, 206} <= {*ids} and len(ids) == len(set(ids))
+
+
+def test_run_leaves_one_table_of_documents(spark, corpus):
+    before, _ = left(spark)
+    assert P.run(spark, corpus[0]).count()
+    names = {n.replace(" ", "-") for n, _ in P.STAGES}
+    assert left(spark, before)[1] & names == {P.STAGES[-2][0].replace(" ", "-")}
+
+
 def test_run_packs_what_is_kept(spark, corpus):
     folder, _ = corpus
     got = P.run(spark, folder).collect()
